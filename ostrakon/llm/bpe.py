@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import texts_of
 
 #: Unicode White_Space; a fixed value of the normaliser.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BUILT: dict[str, ForcedBoundaryBPE] = {}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, matroska
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.features(matroska.store(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_matroska": op1_matroska,
     "op7_bpe": op7_bpe,
 }
 
