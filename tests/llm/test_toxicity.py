@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import pandas as pd
 
 from ostrakon.llm import toxicity as t
 from ostrakon.llm.common import table
@@ -49,7 +48,7 @@ def test_held_out_accuracy(spark):
 
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, 5.0), (2, "", 1.0), (2, "", 1.0), (None, "x y", 2.0)], "doc_id long, text string, score double")
-    labels = spark.createDataFrame(pd.DataFrame({"doc_id": [1, 2, None], "toxic": [None, 1, 0], "quality": [1, 1, 1]}), "doc_id long, toxic int, quality int")
+    labels = spark.createDataFrame([(1, None, 1), (2, 1, 1), (None, 0, 1)], "doc_id long, toxic int, quality int")
     assert docs.count() == t.classify(docs, labels).count()
     assert t.classify(docs, labels.limit(0)).agg({"score": "max"}).collect()[0][0] < 1e-9
     assert t.classify(docs.limit(0), labels).count() == 0
