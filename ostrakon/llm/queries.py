@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, matroska, mixing, sharding, toxicity
+from . import bpe, cotrain, matroska, mixing, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op1_matroska": op1_matroska,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
     "op9_toxicity": op9_toxicity,
 }
