@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cotrain, matroska, mixing, sharding, toxicity
+from . import bpe, cotrain, matroska, mixing, partenum, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.join(table(spark, sf_dir, "documents"), 85, 100, 4)
+
+
 QUERIES: dict[str, Query] = {
     "op1_matroska": op1_matroska,
     "op3_mixing": op3_mixing,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
