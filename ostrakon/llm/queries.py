@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cotrain, matroska, mixing, partenum, sharding, toxicity
+from . import bpe, cotrain, htmlcrf, matroska, mixing, partenum, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.store(table(spark, sf_dir, "documents")))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
+    "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
