@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cotrain, htmlcrf, matroska, mixing, partenum, sharding, toxicity
+from . import bpe, chat, cotrain, htmlcrf, matroska, mixing, partenum, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_windows(chat.with_trap(spark, table(spark, sf_dir, "conversations"))))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_matroska": op1_matroska,
+    "op2_chat": op2_chat,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
@@ -64,5 +69,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_chat": chat.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
 }
