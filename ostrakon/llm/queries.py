@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, cotrain, htmlcrf, matroska, mixing, partenum, sharding, toxicity
+from . import bpe, chat, cotrain, editprint, htmlcrf, matroska, mixing, partenum, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.with_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_fingerprints": op6_fingerprints,
     "op7_bpe": op7_bpe,
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
