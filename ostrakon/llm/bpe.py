@@ -233,3 +233,30 @@ def digest_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded_corpus(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, n_tokens, ids and the digest of the decoded text of every row of ``docs``."""
+    import numpy as np
+
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    names = ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder_of(spec.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                joined, digests = [], []
+                for text in texts_of(part, "text"):
+                    pieces = bpe.pieces(text)
+                    joined.append(b"".join([p[0] for p in pieces]))
+                    digests.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode("utf-8", "surrogatepass")).hexdigest())
+                lengths = np.fromiter((len(x) // 4 for x in joined), np.int64, len(joined))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.frombuffer(b"".join(joined), "<i4")))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(lengths), ids, pa.array(digests, pa.string())], names=names)
+
+    narrow = docs.select("doc_id", "lang", "source", "n_chars", "text")
+    kinds = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in names[:4])
+    return narrow.mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>, decoded_sha256 string")

@@ -192,9 +192,15 @@ def sample_ids(labels: DataFrame, docs: DataFrame, most_labelled: int, most_pool
     return out, [r.doc_id for r in pool if r.doc_id not in out], shift
 
 
+def own_column(docs: DataFrame, name: str) -> F.Column:
+    """A metadata column as the view reads it; a table without lengths gets those of its texts."""
+    if name == "n_chars":
+        return (F.col(name) if name in docs.columns else F.length("text")).cast("long")
+    return F.col(name).cast("string")
+
+
 def _columns(docs: DataFrame) -> DataFrame:
-    stated = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.length("text").cast("long")
-    return docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), stated.alias("n_chars"))
+    return docs.select("doc_id", "text", *(own_column(docs, c).alias(c) for c in ("lang", "source", "n_chars")))
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -244,3 +250,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The scores of every row of ``docs`` and whether it is kept."""
     return score(docs, train(docs, labels, **options)).withColumn("keep", F.col("score") >= threshold)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+    columns = docs.columns
+    carried = docs.select(*(F.col(c) for c in columns), *(own_column(docs, c).alias(f"__{c}") for c in ("lang", "source", "n_chars")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index
+            text = np.array([text_features(t) for t in bytes_of(batch, "text")]).reshape(-1, len(TEXT_FEATURES))
+            meta = np.array([meta_features(*x) for x in zip(*(batch.column(at(f"__{c}")).to_pylist() for c in ("lang", "source", "n_chars")))]).reshape(-1, 10 + HASHED_SOURCES)
+            keep = pa.array(shared.value.score(text, meta)[2] >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(columns))], names=columns).filter(keep)
+
+    return carried.mapInArrow(run, docs.schema)

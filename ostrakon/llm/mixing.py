@@ -191,8 +191,11 @@ def mixed_documents(docs: DataFrame, block_words: int = 512, **options) -> DataF
     plan = plan_of(docs, block_words=block_words, **options)
     per_pass = draws(plan).groupBy("doc_id", "source", "size", "copy", "pass").agg(F.collect_list(F.struct("block", "n_words")).alias("parts"), F.sum("n_words").alias("n"))
     keyed = docs.select("*", word_count(F.col("text")).alias("__size"))
-    copies = Window.partitionBy("doc_id", "source", "__size").orderBy("text")
-    keyed = keyed.withColumn("__copy", F.row_number().over(copies).cast("long"))
+    if plan.where("copy > 1").isEmpty():
+        keyed = keyed.withColumn("__copy", F.lit(1).cast("long"))
+    else:
+        copies = Window.partitionBy("doc_id", "source", "__size").orderBy("text")
+        keyed = keyed.withColumn("__copy", F.row_number().over(copies).cast("long"))
     own = per_pass.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copy").alias("__c"), F.when(F.col("n") < F.col("size"), F.col("parts")).alias("__parts"))
     joined = keyed.join(own, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__copy") == F.col("__c")))
     columns = docs.columns

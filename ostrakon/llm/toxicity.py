@@ -174,3 +174,17 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs`` whose score stays below the threshold, with all their columns."""
+    weights = train(docs, labels, **options)
+    shared = docs.sparkSession.sparkContext.broadcast((weights.ids, weights.values, weights.intercept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Weights(*shared.value)
+        dense, words = model.dense(), Words()
+        for batch in batches:
+            yield batch.filter(pa.array([sigmoid(float(dense[feature_ids(t, words)].sum(dtype=np.float64)) + model.intercept) < threshold for t in bytes_of(batch, "text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
