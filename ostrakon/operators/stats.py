@@ -227,7 +227,7 @@ def least_squares(df: DataFrame, x: Sequence[str], y: str, weight: str | None =
     residual = max(0.0, yy - 2 * beta @ b + beta @ g @ beta)
     inverse = np.linalg.inv(h)
     se = np.sqrt(np.diag(inverse @ g @ inverse) * residual / max(dof, 1))
-    rows = [(name, float(c), float(s), float(c / s) if s else None, beta_regularised(dof / 2, 0.5, dof / (dof + (c / s) ** 2)) if s and dof > 0 else None) for name, c, s in zip(["(intercept)", *x], beta, se)]
+    rows = [(name, float(c), float(s), float(c / s) if s else None, float(beta_regularised(dof / 2, 0.5, float(dof / (dof + (c / s) ** 2)))) if s and dof > 0 else None) for name, c, s in zip(["(intercept)", *x], beta, se)]
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double, t double, p double")
 
 

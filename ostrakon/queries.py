@@ -521,7 +521,7 @@ def _(t):
     return t.supplier.select(F.col("s_nationkey").alias("n"), F.lit("s").alias("k"), F.col("s_acctbal").alias("b")).unionByName(t.customer.select(F.col("c_nationkey").alias("n"), F.lit("c").alias("k")), allowMissingColumns=True)
 
 
-@query("u2_u4_set_algebra", f"WITH {H}, a AS (SELECT item FROM h WHERE entity = 1), b AS (SELECT item FROM h WHERE entity = 2) SELECT CAST((SELECT count(*) FROM (SELECT item FROM a INTERSECT SELECT item FROM b)) AS BIGINT) AS both, CAST((SELECT count(*) FROM (SELECT item FROM a UNION SELECT item FROM b)) AS BIGINT) AS either, CAST((SELECT count(*) FROM (SELECT item FROM a EXCEPT SELECT item FROM b)) AS BIGINT) AS only_a, CAST((SELECT count(*) FROM (SELECT item FROM b EXCEPT SELECT item FROM a)) AS BIGINT) AS only_b")
+@query("u2_u4_set_algebra", f"WITH {H}, a AS (SELECT item FROM h WHERE entity = 1), b AS (SELECT item FROM h WHERE entity = 2) SELECT CAST((SELECT count(*) FROM (SELECT item FROM a INTERSECT SELECT item FROM b)) AS BIGINT) AS \"both\", CAST((SELECT count(*) FROM (SELECT item FROM a UNION SELECT item FROM b)) AS BIGINT) AS either, CAST((SELECT count(*) FROM (SELECT item FROM a EXCEPT SELECT item FROM b)) AS BIGINT) AS only_a, CAST((SELECT count(*) FROM (SELECT item FROM b EXCEPT SELECT item FROM a)) AS BIGINT) AS only_b")
 def _(t):
     s = t.holdings().where("entity IN (1, 2)").agg(F.collect_set(F.when(F.col("entity") == 1, F.col("item"))).alias("a"), F.collect_set(F.when(F.col("entity") == 2, F.col("item"))).alias("b"))
     return s.select(F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("only_a"), F.size(F.array_except("b", "a")).alias("only_b"))
@@ -530,3 +530,779 @@ def _(t):
 @query("u5_u6_distinct", "SELECT DISTINCT p_brand, p_type FROM part")
 def _(t):
     return t.part.select("p_brand", "p_type").distinct()
+
+
+# --- graph (2.8) ---------------------------------------------------------------------------------
+
+
+def _nodes(t: Tables) -> DataFrame:
+    return G.typed_nodes("supplier", t.supplier, "s_suppkey").unionByName(G.typed_nodes("part", t.part, "p_partkey"))
+
+
+def _supplier_groups(t: Tables) -> DataFrame:
+    return t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("grp"))
+
+
+@query("g1_typed_nodes", "SELECT 'supplier:' || s_suppkey AS id, 'supplier' AS label, s_acctbal AS bal FROM supplier UNION ALL SELECT 'part:' || p_partkey, 'part', NULL FROM part")
+def _(t):
+    return _nodes(t).select("id", "label", F.col("num_props")["s_acctbal"].alias("bal"))
+
+
+@query("g2_typed_edges", "SELECT 'SUPPLIES' AS etype, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS total FROM lineitem UNION ALL SELECT 'ORDERS', CAST(count(*) AS BIGINT), CAST(count(*) AS DOUBLE) FROM orders")
+def _(t):
+    e = G.typed_edges("SUPPLIES", t.lineitem, "l_suppkey", "l_partkey", "l_quantity").unionByName(G.typed_edges("ORDERS", t.orders, "o_custkey", "o_orderkey"))
+    return e.groupBy("etype").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("g3_schema", f"WITH {E} SELECT 'node' AS kind, 'supplier' AS name, unnest(['s_nationkey', 's_acctbal']) AS property, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS n UNION ALL SELECT 'node', 'part', unnest(['p_size', 'p_retailprice']), (SELECT count(*) FROM part) UNION ALL SELECT 'edge', etype, 'value', count(*) FROM e GROUP BY etype")
+def _(t):
+    return G.schema_of(_nodes(t), t.edges())
+
+
+@query("g4_edge_features", f"WITH {E}, p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(CASE WHEN etype = 'R' THEN 1.0 ELSE 0.0 END) AS has, max(CASE WHEN etype = 'R' THEN value END) AS v FROM e GROUP BY 1, 2) SELECT a, b, has::DOUBLE AS has, round(coalesce(least(CASE WHEN v > 1 THEN ln(1 + v) / 10 ELSE v END, 1.0), 0.0), 6)::DOUBLE AS v FROM p")
+def _(t):
+    return G.edge_features(t.edges(), ["R", "A"]).select("a", "b", F.col("features")[0].alias("has"), F.col("features")[1].alias("v"))
+
+
+@query("g5_degrees", f"WITH {E} SELECT u.src AS id, CAST(count(*) AS BIGINT) AS degree, CAST(count(CASE WHEN a.s_nationkey = b.s_nationkey THEN 1 END) AS BIGINT) AS same, CAST(count(DISTINCT b.s_nationkey) AS BIGINT) AS groups_reached FROM u LEFT JOIN supplier a ON a.s_suppkey = src LEFT JOIN supplier b ON b.s_suppkey = dst GROUP BY 1")
+def _(t):
+    return G.group_degrees(t.edges(), _supplier_groups(t))
+
+
+@query("g6_two_paths", f"WITH {E}, d AS (SELECT src AS id, count(*) AS d FROM u GROUP BY 1) SELECT id, CAST(d * (d - 1) / 2 AS BIGINT) AS paths, round(d * (d - 1) * 1.0 / (SELECT max(d * (d - 1)) FROM d), 6)::DOUBLE AS relative FROM d")
+def _(t):
+    return G.two_paths(t.edges())
+
+
+@query("g7_shortest_paths", f"WITH RECURSIVE {E}, r(a, b, d) AS (SELECT src, dst, 1 FROM u UNION SELECT r.a, u.dst, d + 1 FROM r JOIN u ON u.src = r.b WHERE d < 3) SELECT a, b, CAST(min(d) AS BIGINT) AS distance FROM r WHERE a < b GROUP BY 1, 2")
+def _(t):
+    return G.shortest_paths(t.edges(), 3)
+
+
+@query("g8_k_hop", f"WITH RECURSIVE {E}, r(source, id, d) AS (SELECT DISTINCT src, src, 0 FROM u WHERE src < 5 UNION SELECT r.source, u.dst, d + 1 FROM r JOIN u ON u.src = r.id WHERE d < 2) SELECT source, id, CAST(min(d) AS BIGINT) AS distance FROM r GROUP BY 1, 2")
+def _(t):
+    e = t.edges()
+    return G.bfs(e, G.undirected(e).where("src < 5").select(F.col("src").alias("source")), 2)
+
+
+@query("g9_communities")
+def _(t):
+    e = t.edges().join(_supplier_groups(t), F.col("src") == F.col("id")).select("src", "dst", (F.col("grp") % 5).alias("grp"))
+    return G.communities(e)
+
+
+@query("g10_components", f"WITH RECURSIVE {E}, r(id, o) AS (SELECT DISTINCT src, src FROM u UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.o) SELECT id, min(o) AS component FROM r GROUP BY id")
+def _(t):
+    return G.components(t.edges())
+
+
+@query("g11_topology")
+def _(t):
+    return G.topology(t.edges().join(_supplier_groups(t), F.col("src") == F.col("id")).select("src", "dst", (F.col("grp") % 5).alias("grp")))
+
+
+@query("g11_clustering", f"WITH {E}, t AS (SELECT a.src AS id, count(*) / 2 AS n FROM u a JOIN u b ON a.src = b.src AND a.dst <> b.dst JOIN u c ON c.src = a.dst AND c.dst = b.dst GROUP BY 1), d AS (SELECT src AS id, count(*) AS d FROM u GROUP BY 1) SELECT d.id, CAST(d AS BIGINT) AS degree, CAST(coalesce(n, 0) AS BIGINT) AS triangles, round(CASE WHEN d > 1 THEN 2.0 * coalesce(n, 0) / (d * (d - 1)) ELSE 0 END, 6)::DOUBLE AS coefficient FROM d LEFT JOIN t ON t.id = d.id")
+def _(t):
+    return G.clustering(t.edges())
+
+
+@query("g12_mixed_triangles", f"WITH {E}, k AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, etype FROM e WHERE src <> dst), t AS (SELECT DISTINCT x.a, x.b, y.b AS c FROM k x JOIN k y ON x.b = y.a JOIN k z ON z.a = x.a AND z.b = y.b), g AS (SELECT t.a, t.b, t.c FROM t JOIN k ON (k.a = t.a AND k.b = t.b) OR (k.a = t.a AND k.b = t.c) OR (k.a = t.b AND k.b = t.c) GROUP BY 1, 2, 3 HAVING count(DISTINCT etype) >= 2), s AS (SELECT a, b FROM g UNION ALL SELECT a, c FROM g UNION ALL SELECT b, c FROM g) SELECT a, b, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1, 2")
+def _(t):
+    return G.mixed_triangles(t.edges())
+
+
+@query("g13_diversity", f"WITH {E}, p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(DISTINCT etype) AS types FROM e GROUP BY 1, 2) SELECT CAST(types AS BIGINT) AS types, CAST(count(*) AS BIGINT) AS pairs FROM p GROUP BY 1")
+def _(t):
+    return G.diversity(t.edges())
+
+
+@query("g14_coherence")
+def _(t):
+    return G.coherence(t.edges().select("src", "dst", F.col("etype").alias("grp")))
+
+
+@query("g15_link_prediction")
+def _(t):
+    e = t.edges().select("src", "dst").where("src <> dst")
+    held = e.where("pmod(xxhash64(src, dst), 5) = 0")
+    kept = e.join(held, ["src", "dst"], "left_anti")
+    absent = e.select("src", (F.col("dst") * 7 % 150).alias("dst")).distinct().join(e, ["src", "dst"], "left_anti").where("src <> dst")
+    return G.link_prediction(kept, held, absent)
+
+
+@query("g16_confidence", "SELECT p_partkey, round(0.20 * 0.5 + 0.25 * p_size / 50.0 + 0.15 * 0.1, 6)::DOUBLE AS confidence FROM part")
+def _(t):
+    df = t.part.select("p_partkey", F.lit(0.5).alias("spectral"), (F.col("p_size") / 50).alias("bootstrap"), F.lit(0.1).alias("triangle"), *(F.lit(None).cast("double").alias(c) for c in ("provenance", "link", "coherence")))
+    return G.composite_confidence(df).select("p_partkey", "confidence")
+
+
+_STEP = "SELECT n.id, 0.15 * coalesce(s.v, 0) + 0.85 * coalesce((SELECT sum(w.w * {0}.v) FROM w JOIN {0} ON {0}.id = w.src WHERE w.dst = n.id), 0) AS v FROM n LEFT JOIN s ON s.id = n.id"
+
+
+@query("g17_propagation", f"""WITH {E}, w AS (SELECT src, dst, value / sum(value) OVER (PARTITION BY src) AS w FROM e WHERE value > 0), s AS (SELECT s_suppkey AS id, 1.0::DOUBLE AS v FROM supplier WHERE s_suppkey < 10), n AS (SELECT id FROM s UNION SELECT src FROM w UNION SELECT dst FROM w),
+ x0 AS (SELECT n.id, coalesce(s.v, 0) AS v FROM n LEFT JOIN s ON s.id = n.id), x1 AS ({_STEP.format('x0')}), x2 AS ({_STEP.format('x1')}) SELECT id, round(v, 6)::DOUBLE AS value FROM x2""")
+def _(t):
+    start = t.supplier.where("s_suppkey < 10").select(F.col("s_suppkey").alias("id"), F.lit(1.0).alias("value"))
+    return G.propagate(t.edges().where("value > 0").select("src", "dst", F.col("value").alias("weight")), start, rounds=2)
+
+
+@query("g18_g21_closure", f"WITH RECURSIVE {DAG}, r(id, a, d) AS (SELECT src, dst, 1 FROM g UNION SELECT r.id, g.dst, d + 1 FROM r JOIN g ON g.src = r.a WHERE d < 4) SELECT id, a AS ancestor, CAST(min(d) AS BIGINT) AS distance FROM r GROUP BY 1, 2")
+def _(t):
+    return G.closure(t.dag(), 4)
+
+
+@query("g19_dependencies", f"WITH RECURSIVE {E}, r(id, d) AS (SELECT 3::BIGINT, 0 UNION SELECT e.dst, d + 1 FROM r JOIN e ON e.src = r.id WHERE d < 3) SELECT DISTINCT src AS node, etype, dst AS target FROM e WHERE src IN (SELECT id FROM r)")
+def _(t):
+    return G.dependency_edges(t.edges().select("src", "dst", "etype"), 3, 4)
+
+
+@query("g20_levels", f"WITH RECURSIVE {DAG}, r(id, l) AS (SELECT src, 0 FROM g WHERE src NOT IN (SELECT dst FROM g) UNION SELECT g.dst, l + 1 FROM r JOIN g ON g.src = r.id) SELECT id, CAST(max(l) AS BIGINT) AS level FROM r GROUP BY id")
+def _(t):
+    return G.levels(t.dag())
+
+
+@query("g20_proof_chain", f"WITH RECURSIVE {DAG}, m AS (SELECT max(dst) AS x FROM g), up(id) AS (SELECT x FROM m UNION SELECT g.src FROM up JOIN g ON g.dst = up.id), i AS (SELECT src, dst FROM g WHERE src IN (SELECT id FROM up) AND dst IN (SELECT id FROM up)), r(id, l) AS (SELECT id, 0 FROM up WHERE id NOT IN (SELECT dst FROM i) UNION SELECT i.dst, l + 1 FROM r JOIN i ON i.src = r.id) SELECT id, CAST(max(l) AS BIGINT) AS level FROM r GROUP BY id")
+def _(t):
+    d = t.dag()
+    return G.proof_chain(d, d.agg(F.max("dst")).first()[0])
+
+
+@query("g20_foundations", f"WITH RECURSIVE {DAG}, r(f, id) AS (SELECT DISTINCT src, src FROM g WHERE src NOT IN (SELECT dst FROM g) UNION SELECT r.f, g.dst FROM r JOIN g ON g.src = r.id) SELECT f AS foundation, CAST(count(*) - 1 AS BIGINT) AS n FROM r GROUP BY f")
+def _(t):
+    return G.shared_foundations(t.dag())
+
+
+@query("g22_bridges", """WITH d AS (SELECT o_custkey AS p, list_sort(list(DISTINCT o_orderpriority)) AS ds FROM orders GROUP BY 1), u AS (SELECT DISTINCT o_custkey AS p, CAST(o_orderdate AS DATE) AS c FROM orders)
+ SELECT a.p AS a, b.p AS b, strftime(a.c, '%Y-%m-%d') AS concept, round(1 - len(list_intersect(x.ds, y.ds)) * 1.0 / len(list_distinct(list_concat(x.ds, y.ds))), 6)::DOUBLE AS gap FROM u a JOIN u b ON a.c = b.c AND a.p < b.p JOIN d x ON x.p = a.p JOIN d y ON y.p = b.p
+ WHERE 1 - len(list_intersect(x.ds, y.ds)) * 1.0 / len(list_distinct(list_concat(x.ds, y.ds))) > 0.3""")
+def _(t):
+    uses = t.orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("concept"), F.col("o_custkey").alias("p"))
+    return G.bridges(uses, t.orders.groupBy(F.col("o_custkey").alias("p")).agg(F.collect_set("o_orderpriority").alias("ds")), "concept", "p")
+
+
+@query("g23_chains")
+def _(t):
+    cats = t.supplier.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_nationkey").cast("string"), (F.col("s_nationkey") % 5).cast("string"), F.when(F.col("s_acctbal") > 0, "x").otherwise("y")).alias("cats"))
+    return G.chains(t.edges(), cats, 2, 3).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "-"))
+
+
+@query("g24_subgraph", f"WITH {E}, n AS (SELECT 3::BIGINT AS id UNION SELECT dst FROM u WHERE src = 3) SELECT src, dst, etype, value FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
+def _(t):
+    return G.neighbourhood(t.edges(), 3, 1)
+
+
+@query("g25_stats", f"WITH {E} SELECT 'edge' AS what, etype AS name, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY etype UNION ALL SELECT 'node', 'supplier', count(*) FROM supplier UNION ALL SELECT 'node', 'part', count(*) FROM part")
+def _(t):
+    return G.graph_stats(_nodes(t), t.edges())
+
+
+@query("g26_profile", f"WITH {E} SELECT 'out' AS direction, etype, dst AS other, value FROM e WHERE src = 3 UNION ALL SELECT 'in', etype, src, value FROM e WHERE dst = 3")
+def _(t):
+    return G.profile(3, t.edges())
+
+
+@query("g28_channel_profile", f"WITH {E}, c AS (SELECT u.src AS id, CAST(s_nationkey % 5 AS BIGINT) AS grp, count(*) AS n FROM u JOIN supplier ON s_suppkey = dst GROUP BY 1, 2), s AS (SELECT *, n * 1.0 / sum(n) OVER (PARTITION BY id) AS share FROM c) SELECT id, grp, round(share, 6)::DOUBLE AS share, round(1 + (log2(5) - sum(-share * log2(share)) OVER (PARTITION BY id)) / log2(5), 6)::DOUBLE AS weight FROM s")
+def _(t):
+    return G.channel_profile(t.edges(), t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).cast("long").alias("grp")), 5)
+
+
+@query("g29_hubs", f"WITH {E}, d AS (SELECT u.src AS id, a.s_nationkey::BIGINT AS grp, count(CASE WHEN a.s_nationkey = b.s_nationkey THEN 1 END) AS same FROM u JOIN supplier a ON a.s_suppkey = src LEFT JOIN supplier b ON b.s_suppkey = dst GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY same DESC, id) AS rank FROM d) SELECT grp, id, CAST(same AS BIGINT) AS same, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 3")
+def _(t):
+    return G.hubs(t.edges(), _supplier_groups(t))
+
+
+# --- walks and scorers (2.9) ------------------------------------------------------------------------
+
+
+def _mutations(t: Tables) -> DataFrame:
+    return t.lines().select(F.col("o_custkey").alias("entity"), F.col("p_partkey").alias("item"), F.col("p_type").alias("grp"), F.round(F.col("p_retailprice") / 1000 - 1, 6).alias("value"), (F.col("p_size") > 40).alias("hub"), F.when(F.col("p_size") % 3 == 0, "LOF").otherwise("GOF").alias("direction")).distinct()
+
+
+MUT = "m AS (SELECT DISTINCT o_custkey AS entity, p_partkey AS item, p_type AS grp, p_brand AS brand, round(p_retailprice / 1000 - 1, 6) AS value, p_size FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
+
+
+@query("k1_entity_walk", f"""WITH {MUT}, c AS (SELECT entity, grp, count(*) AS n FROM m GROUP BY 1, 2), p AS (SELECT entity, sum(n * (n - 1) / 2) AS w, sum(n) AS n FROM c GROUP BY 1)
+ SELECT m.entity, CAST(count(*) AS BIGINT) AS n_items, round(sum(value), 6)::DOUBLE AS value_sum, CAST(count(CASE WHEN p_size % 3 <> 0 THEN 1 END) AS BIGINT) AS n_gof, CAST(count(CASE WHEN p_size % 3 = 0 THEN 1 END) AS BIGINT) AS n_lof,
+ round(avg(CASE WHEN p_size > 40 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hub_ratio, CAST(count(DISTINCT grp) AS BIGINT) AS n_groups, CAST(max(w) AS BIGINT) AS pairs_within, CAST(max(p.n * (p.n - 1) / 2 - w) AS BIGINT) AS pairs_across,
+ CAST(max(CASE WHEN grp = 'PROMO' THEN 1 ELSE 0 END) AS BIGINT) AS "in_PROMO", CAST(max(CASE WHEN grp = 'SMALL' THEN 1 ELSE 0 END) AS BIGINT) AS "in_SMALL" FROM m JOIN p ON p.entity = m.entity GROUP BY m.entity""")
+def _(t):
+    return K.entity_walk(_mutations(t), "entity", "item", "grp", "value", "hub", "direction", ["PROMO", "SMALL"])
+
+
+@query("k2_defaults", "SELECT c_custkey AS entity, CAST(coalesce(n, 0) AS BIGINT) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 450000 GROUP BY 1) ON o_custkey = c_custkey")
+def _(t):
+    n = t.orders.where("o_totalprice > 450000").groupBy(F.col("o_custkey").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+    return K.with_defaults(t.customer.select(F.col("c_custkey").alias("entity")), n, "entity")
+
+
+@query("k3_equal_sets", f"WITH {H}, s AS (SELECT entity, substr(sha256(string_agg(item, '|' ORDER BY item)), 1, 16) AS key, count(*) AS n FROM h GROUP BY 1) SELECT entity, key, CAST(n AS BIGINT) AS n FROM s")
+def _(t):
+    return K.by_equal_sets(t.holdings(), "entity", "item", lambda s: s.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _attention(t: Tables) -> DataFrame:
+    p = t.part.select("p_brand").distinct()
+    a = p.select(F.col("p_brand").alias("src"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("i"))
+    b = p.select(F.col("p_brand").alias("dst"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("j"))
+    return a.join(F.broadcast(b), (F.col("i") + F.col("j")) % 7 == 0).where("i <> j").select("src", "dst", (F.col("i") / (F.col("i") + 2.0 * F.col("j"))).alias("weight"))
+
+
+@query("k4_attention", f"""WITH {H}, b AS (SELECT DISTINCT p_brand AS item, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) AS i FROM part), a AS (SELECT x.item AS src, y.item AS dst, x.i / (x.i + 2.0 * y.i) AS w FROM b x JOIN b y ON (x.i + y.i) % 7 = 0 AND x.i <> y.i),
+ f AS (SELECT x.entity, a.* FROM a JOIN h x ON x.item = src JOIN h y ON y.entity = x.entity AND y.item = dst), s AS (SELECT entity, src AS i, w AS o, 0.0 AS r FROM f UNION ALL SELECT entity, dst, 0.0, w FROM f), l AS (SELECT entity, max(q) AS asymmetry FROM (SELECT entity, i, sum(o) / sum(r) AS q FROM s GROUP BY 1, 2 HAVING sum(r) > 0.01) GROUP BY 1),
+ n AS (SELECT entity, count(*) AS n, count(CASE WHEN item IN ('Brand#1', 'Brand#2') THEN 1 END) AS d FROM h GROUP BY 1), t AS (SELECT entity, sum(w) AS flow, avg(w) AS mean_flow, sum(CASE WHEN substr(src, 1, 7) <> substr(dst, 1, 7) THEN w ELSE 0 END) AS cross_flow, max(w) AS max_flow, count(*) AS m FROM f GROUP BY 1)
+ SELECT n.entity, CAST(n.n AS BIGINT) AS n, round(coalesce(flow, 0), 6)::DOUBLE AS flow, round(coalesce(mean_flow, 0), 6)::DOUBLE AS mean_flow, round(coalesce(cross_flow, 0), 6)::DOUBLE AS cross_flow, round(coalesce(max_flow, 0), 6)::DOUBLE AS max_flow, round(coalesce(asymmetry, 0), 6)::DOUBLE AS asymmetry,
+ round(coalesce(m, 0) * 1.0 / greatest(n.n * (n.n - 1), 1), 6)::DOUBLE AS density, round(d * 1.0 / n.n, 6)::DOUBLE AS driver_ratio FROM n LEFT JOIN t ON t.entity = n.entity LEFT JOIN l ON l.entity = n.entity""")
+def _(t):
+    h = t.holdings().withColumn("grp", F.substring("item", 1, 7))
+    return K.attention(h, "entity", "item", "grp", _attention(t), t.spark.sql("SELECT explode(array('Brand#1', 'Brand#2')) AS item"))
+
+
+@query("k6_affinity", f"""WITH {GR}, s AS (SELECT grp, entity, count(*) AS c FROM g GROUP BY 1, 2), p AS (SELECT a.grp, a.entity AS a, b.entity AS b, count(*) AS n FROM g a JOIN g b ON a.grp = b.grp AND a.item = b.item AND a.entity < b.entity GROUP BY 1, 2, 3),
+ j AS (SELECT p.grp, p.a, p.b, n * 1.0 / (x.c + y.c - n) AS j FROM p JOIN s x ON x.grp = p.grp AND x.entity = p.a JOIN s y ON y.grp = p.grp AND y.entity = p.b WHERE n * 10 >= 8 * (x.c + y.c - n)), d AS (SELECT grp, a AS x, b AS y, j FROM j UNION ALL SELECT grp, b, a, j FROM j),
+ r AS (SELECT *, row_number() OVER (PARTITION BY grp, x ORDER BY j DESC, y) AS r FROM d) SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, grp, round(j, 6)::DOUBLE AS jaccard FROM r WHERE r <= 3""")
+def _(t):
+    return M.top_neighbours(M.jaccard_join(t.grouped(), "entity", "item", 0.8, ["grp"]), 3, group=["grp"]).select("a", "b", "grp", "jaccard")
+
+
+@query("k6_unified")
+def _(t):
+    g = t.grouped()
+    sets = A.set_keys(g, "entity", "item").select("entity", "key").join(g.select("entity", "grp").distinct(), "entity")
+    return K.unified_affinity(M.jaccard_join(g, "entity", "item", 0.9, ["grp"]), sets, "entity", "grp")
+
+
+@query("k7_smoothing", f"WITH {O}, {E}, p AS (SELECT src AS x, dst AS y, value AS s FROM e WHERE src <> dst UNION ALL SELECT dst, src, value FROM e WHERE src <> dst), n AS (SELECT x, sum(s * c_acctbal) / sum(s) AS near FROM p JOIN o ON o.entity = y WHERE s > 0 GROUP BY 1) SELECT entity, round(CASE WHEN near IS NULL THEN c_acctbal ELSE 0.7 * c_acctbal + 0.3 * near END, 4) AS smoothed FROM o LEFT JOIN n ON n.x = entity")
+def _(t):
+    e = t.edges().where("src <> dst AND value > 0").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("value").alias("jaccard"))
+    return M.smooth(t.outcomes().select("entity", "c_acctbal"), "entity", "c_acctbal", e).select("entity", F.round("smoothed", 4).alias("smoothed"))
+
+
+@query("k8_graph_score", f"""WITH {H}, b AS (SELECT DISTINCT p_brand AS item, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) AS i FROM part), a AS (SELECT x.item AS src, y.item AS dst, x.i / (x.i + 2.0 * y.i) AS w FROM b x JOIN b y ON (x.i + y.i) % 7 = 0 AND x.i <> y.i),
+ f AS (SELECT x.entity, 2.0 * sum(w) AS p FROM a JOIN h x ON x.item = src JOIN h y ON y.entity = x.entity AND y.item = dst GROUP BY 1), s AS (SELECT entity, sum(i / 10.0) AS s FROM h JOIN b USING (item) GROUP BY 1) SELECT s.entity, round(s + coalesce(p, 0), 6)::DOUBLE AS score FROM s LEFT JOIN f ON f.entity = s.entity""")
+def _(t):
+    values = t.part.select(F.col("p_brand").alias("item")).distinct().withColumn("value", F.regexp_extract("item", r"(\d+)", 1).cast("int") / 10.0)
+    return K.graph_score(t.holdings(), "entity", "item", values, _attention(t).withColumnRenamed("weight", "value").withColumn("etype", F.lit("ATT")), {"ATT": 2.0})
+
+
+@query("k10_hierarchical", f"""WITH {MUT}, b AS (SELECT entity, grp, brand, sum(value) AS s, sum(value) / (count(*) * count(*)) AS b FROM m GROUP BY 1, 2, 3), c AS (SELECT entity, grp, sum(s) AS s, sum(b) / sqrt(count(*)) AS c, sum(b) AS b FROM b GROUP BY 1, 2)
+ SELECT entity, round(sum(s) / count(*) + sum(b) + 0.6 * sum(c) / sqrt(count(*)), 6)::DOUBLE AS score FROM c GROUP BY 1""")
+def _(t):
+    m = t.lines().select(F.col("o_custkey").alias("entity"), F.col("p_partkey").alias("item"), F.col("p_type").alias("grp"), F.col("p_brand").alias("brand"), F.round(F.col("p_retailprice") / 1000 - 1, 6).alias("value")).distinct()
+    return K.hierarchical_score(m, "entity", "item", "brand", "grp", "value")
+
+
+@query("k11_modes", f"WITH {E} SELECT src, dst, CASE WHEN value = 0 THEN 'independent' WHEN etype = 'R' AND value <= 1 THEN 'redundant' WHEN etype = 'R' THEN 'multiplicative' WHEN value <= 2 THEN 'rescue' ELSE 'independent' END AS mode FROM e")
+def _(t):
+    return t.edges().select("src", "dst", K.pair_mode(F.when(F.col("value") != 0, F.col("value")), F.col("etype") == "R").alias("mode"))
+
+
+@query("k12_pair_features", f"WITH {MUT} SELECT a.entity, CAST(count(*) AS BIGINT) AS pairs, round(avg(abs(a.value - b.value)), 6)::DOUBLE AS gap FROM m a JOIN m b ON a.entity = b.entity AND a.item < b.item WHERE a.p_size > 45 AND b.p_size > 45 GROUP BY 1")
+def _(t):
+    m = t.lines().where("p_size > 45").select(F.col("o_custkey").alias("entity"), F.col("p_partkey").alias("item"), F.round(F.col("p_retailprice") / 1000 - 1, 6).alias("value")).distinct()
+    return R.pairs_within(m, ["entity"], "item", ["value"]).groupBy("entity").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.abs(F.col("value_a") - F.col("value_b"))).alias("gap"))
+
+
+@query("k13_shifts", "WITH x AS (SELECT CAST(s_nationkey AS BIGINT) AS g, p_brand AS i, l_discount AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey), o AS (SELECT i, avg(v) AS m FROM x GROUP BY 1) SELECT g AS grp, x.i AS item, CAST(count(*) AS BIGINT) AS n, round(CASE WHEN count(*) >= 20 THEN avg(v) ELSE max(m) END, 6) AS shift, count(*) < 20 AS fallback FROM x JOIN o ON o.i = x.i GROUP BY 1, 2")
+def _(t):
+    x = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("s_nationkey").alias("grp"), F.col("p_brand").alias("item"), F.col("l_discount").alias("v"))
+    return K.shifts(x, "grp", "item", "v", 20)
+
+
+@query("k14_modifiers", f"WITH RECURSIVE {E}, r(s, id, d) AS (SELECT DISTINCT src, src, 0 FROM u WHERE src < 8 UNION SELECT r.s, u.dst, d + 1 FROM r JOIN u ON u.src = r.id WHERE d < 2), q AS (SELECT s, id, min(d) AS d FROM r GROUP BY 1, 2) SELECT id, round(exp(sum(CASE d WHEN 1 THEN ln(1.5) ELSE ln(1.25) END)), 4)::DOUBLE AS factor FROM q WHERE d > 0 GROUP BY id")
+def _(t):
+    e = t.edges()
+    return K.modifiers(e, G.undirected(e).where("src < 8").select(F.col("src").alias("id")).distinct()).select("id", F.round("factor", 4).alias("factor"))
+
+
+@query("k15_imputation", "WITH a AS (SELECT p_brand, exp(avg(p_size) / 100) AS hr FROM part GROUP BY 1), b AS (SELECT p_type, exp(avg(p_size) / 50) AS hr FROM part WHERE p_type <> 'SMALL' GROUP BY 1) SELECT p_partkey, round(exp(0.5 * (2 * ln(a.hr) + coalesce(ln(b.hr), 0)) / (2 + CASE WHEN b.hr IS NULL THEN 0 ELSE 1 END)), 6)::DOUBLE AS hr, round((2 + CASE WHEN b.hr IS NULL THEN 0 ELSE 1 END) / 3.0, 6)::DOUBLE AS confidence FROM part p JOIN a ON a.p_brand = p.p_brand LEFT JOIN b ON b.p_type = p.p_type")
+def _(t):
+    a = t.part.groupBy("p_brand").agg(F.exp(F.avg("p_size") / 100).alias("hr"))
+    b = t.part.where("p_type <> 'SMALL'").groupBy("p_type").agg(F.exp(F.avg("p_size") / 50).alias("hr"))
+    return K.impute(t.part.select("p_partkey", "p_brand", "p_type"), [(a, ["p_brand"], "hr", 2.0), (b, ["p_type"], "hr", 1.0)]).select("p_partkey", "hr", "confidence")
+
+
+@query("k16_biallelic", """WITH x AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'suppressor' WHEN 1 THEN 'oncogene' ELSE 'other' END AS role, p_partkey % 5 - 2 AS cna, p_partkey % 3 AS d, p_partkey % 2 AS ms, p_partkey % 3 + p_partkey % 2 AS n FROM part)
+ SELECT p_partkey, CASE WHEN n = 0 AND cna = 0 THEN NULL WHEN role = 'suppressor' AND cna = -2 THEN 'biallelic:homodel' WHEN role = 'suppressor' AND cna = -1 AND d >= 1 THEN 'biallelic:loh+mutation' WHEN role = 'suppressor' AND cna = -1 AND ms >= 1 THEN 'biallelic:loh+missense' WHEN role = 'suppressor' AND d >= 2 THEN 'biallelic:compound_het' WHEN role = 'suppressor' AND cna IN (-1, -2) THEN 'monoallelic:loh_only' WHEN role = 'suppressor' AND n > 0 THEN 'monoallelic:mutation_only'
+ WHEN role = 'oncogene' AND cna = 2 AND n > 0 THEN 'biallelic:amp+mutation' WHEN role = 'oncogene' AND cna = 2 THEN 'monoallelic:amp_only' WHEN role = 'oncogene' AND cna = 1 AND n > 0 THEN 'biallelic:gain+mutation' WHEN role = 'oncogene' AND n > 0 THEN 'monoallelic:mutation_only' WHEN cna = -2 THEN 'biallelic:homodel' WHEN cna <= -1 AND d >= 1 THEN 'biallelic:loh+mutation' WHEN cna >= 2 AND n > 0 THEN 'biallelic:amp+mutation' ELSE 'monoallelic:single_hit' END AS status FROM x""")
+def _(t):
+    k, s = F.col("p_partkey"), F.col("p_size") % 3
+    return t.part.select("p_partkey", K.biallelic(F.when(s == 0, "suppressor").when(s == 1, "oncogene").otherwise("other"), (k % 5 - 2).cast("int"), k % 3, k % 2, k % 3 + k % 2).alias("status"))
+
+
+@query("k17_vector", "SELECT p_partkey, CAST(p_type = 'PROMO' AS BIGINT) + 10 * CAST(p_brand = 'Brand#1' AS BIGINT) AS code, round(least(p_size / 50.0, 1.0), 5)::DOUBLE AS pos FROM part")
+def _(t):
+    v = K.mutation_vector(t.part.withColumn("vaf", F.lit(None).cast("double")), ["PROMO", "SMALL"], ["Brand#1"], "p_type", "p_brand", "p_size", "vaf", 50.0)
+    f = F.col("features")
+    return v.select("p_partkey", (f[0] + 10 * f[2]).cast("long").alias("code"), F.round(f[3].cast("double"), 5).alias("pos"))
+
+
+@query("k18_channel_matrix", """WITH x AS (SELECT o_custkey AS entity, p_type AS channel, p_brand AS item, p_size > 40 AS hub, l_returnflag AS kind, CASE WHEN p_size % 3 = 0 THEN 'LOF' ELSE 'GOF' END AS dir, l_quantity / (l_quantity + 10 * l_linenumber) AS vaf FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
+ SELECT entity, channel, 1::BIGINT AS severed, round(ln(1 + count(*)), 6) AS log_n, CAST(count(DISTINCT item) AS BIGINT) AS n_items, CAST(max(hub::INT) AS BIGINT) AS has_hub, CAST(max((NOT hub)::INT) AS BIGINT) AS has_leaf, round(avg((kind = 'R')::INT), 6) AS truncating, round(avg((kind = 'A')::INT), 6) AS missense, round(avg(vaf), 6) AS mean_vaf, round(max(vaf), 6) AS max_vaf, CAST(count(CASE WHEN dir = 'GOF' THEN 1 END) AS BIGINT) AS gof, CAST(count(CASE WHEN dir = 'LOF' THEN 1 END) AS BIGINT) AS lof FROM x GROUP BY 1, 2""")
+def _(t):
+    x = t.lines().select(F.col("o_custkey").alias("entity"), F.col("p_type").alias("channel"), F.col("p_brand").alias("item"), (F.col("p_size") > 40).alias("hub"), F.col("l_returnflag").alias("kind"), F.when(F.col("p_size") % 3 == 0, "LOF").otherwise("GOF").alias("dir"), F.col("l_quantity").alias("alt"), (F.col("l_linenumber") * 10.0).alias("ref"))
+    return K.channel_matrix(x, "entity", "channel", "item", "hub", "kind", "dir", "alt", "ref", ["R"], ["A"])
+
+
+@query("k19_hotspots", "WITH c AS (SELECT p_brand AS node, p_size AS spot, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey) >= 8) SELECT node, spot::BIGINT AS spot, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY node ORDER BY n DESC, spot) AS BIGINT) AS rank FROM c")
+def _(t):
+    return K.hotspots(t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("node"), F.col("p_size").alias("spot"), "l_orderkey"), "node", "spot", "l_orderkey", 8)
+
+
+@query("k20_held_out", f"""WITH {H}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(entity || ':' || item), item) AS r, count(*) OVER (PARTITION BY entity) AS n FROM h), c AS (SELECT a.item AS a, b.item AS b, count(*) AS w FROM h a JOIN h b ON a.entity = b.entity AND a.item <> b.item GROUP BY 1, 2),
+ s AS (SELECT r.entity, c.b, sum(w) AS s FROM r JOIN c ON c.a = r.item WHERE r.r > 1 AND r.n > 1 GROUP BY 1, 2), m AS (SELECT r.entity, r.item AS held, coalesce(s.s, 0) AS mine FROM r LEFT JOIN s ON s.entity = r.entity AND s.b = r.item WHERE r.r = 1 AND r.n > 1)
+ SELECT m.entity, held, CAST(count(CASE WHEN s.s > mine THEN 1 END) + 1 AS BIGINT) AS rank FROM m LEFT JOIN s ON s.entity = m.entity GROUP BY 1, 2""")
+def _(t):
+    h = t.holdings()
+    aff = R.pairs_within(h, ["entity"], "item").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    return K.held_out_ranks(h, "entity", "item", aff)
+
+
+# --- statistics and survival (2.10) ---------------------------------------------------------------------
+
+
+@query("v1_kaplan_meier", f"WITH {O}, b AS (SELECT grp, t, count(*) AS n, sum(e) AS d FROM o GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY t DESC) AS risk FROM b), s AS (SELECT *, sum(CASE WHEN d < risk THEN ln(1 - d * 1.0 / risk) ELSE 0 END) OVER (PARTITION BY grp ORDER BY t) AS l, max(CASE WHEN d >= risk THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY t) AS z FROM r) SELECT grp, t, CAST(risk AS BIGINT) AS at_risk, CAST(d AS BIGINT) AS events, round(CASE WHEN z = 1 THEN 0 ELSE exp(l) END, 6)::DOUBLE AS survival FROM s WHERE d > 0")
+def _(t):
+    return V.kaplan_meier(t.outcomes(), "t", "e", ["grp"])
+
+
+@query("v2_log_rank", f"WITH {O}, b AS (SELECT t, count(*) AS n0, count(CASE WHEN c_acctbal > 4500 THEN 1 END) AS m0, sum(e) AS d, sum(CASE WHEN c_acctbal > 4500 THEN e ELSE 0 END) AS d1 FROM o GROUP BY 1), r AS (SELECT *, sum(n0) OVER (ORDER BY t DESC) * 1.0 AS n, sum(m0) OVER (ORDER BY t DESC) * 1.0 AS m FROM b) SELECT CAST(sum(d1) AS BIGINT) AS observed, round(sum(d * m / n), 6)::DOUBLE AS expected, round(sum(CASE WHEN n > 1 THEN d * m * (n - m) * (n - d) / (n * n * (n - 1)) ELSE 0 END), 6)::DOUBLE AS variance FROM r WHERE d > 0")
+def _(t):
+    return V.log_rank(t.outcomes().withColumn("x", (F.col("c_acctbal") > 4500).cast("int")), "t", "e", "x").select("observed", "expected", "variance")
+
+
+@query("v3_cox")
+def _(t):
+    return V.cox(t.outcomes().withColumn("bal", F.col("c_acctbal") / 10000).withColumn("south", (F.col("grp") % 2).cast("double")), ["bal", "south"], "t", "e", 1e-4)
+
+
+@query("v4_v5_cox_atlas")
+def _(t):
+    g = t.grouped().withColumn("grp", F.col("grp") % 5)
+    return V.cox_atlas(g, "grp", "entity", ["item"], "t", "e", t.outcomes().withColumn("grp", F.col("grp") % 5))
+
+
+@query("v6_interactions", f"""WITH {GR}, {O}, s AS (SELECT g.grp, item, count(*) AS n, sum(e) AS d FROM g JOIN o USING (entity) GROUP BY 1, 2), b AS (SELECT x.grp, x.item AS a, y.item AS b, count(*) AS n, sum(e) AS d FROM g x JOIN g y ON x.entity = y.entity AND x.item < y.item JOIN o ON o.entity = x.entity GROUP BY 1, 2, 3 HAVING count(*) >= 20), t AS (SELECT grp, count(*) AS n, sum(e) AS d FROM o GROUP BY 1)
+ SELECT b.grp, b.a, b.b, CAST(b.n AS BIGINT) AS n_ab, CAST(b.d AS BIGINT) AS d_ab, round(ln((b.d + 0.5) / (b.n - b.d + 0.5)) - ln((x.d - b.d + 0.5) / (x.n - b.n - x.d + b.d + 0.5)) - ln((y.d - b.d + 0.5) / (y.n - b.n - y.d + b.d + 0.5)) + ln((t.d - x.d - y.d + b.d + 0.5) / (t.n - x.n - y.n + b.n - t.d + x.d + y.d - b.d + 0.5)), 6)::DOUBLE AS interaction
+ FROM b JOIN t ON t.grp = b.grp JOIN s x ON x.grp = b.grp AND x.item = b.a JOIN s y ON y.grp = b.grp AND y.item = b.b""")
+def _(t):
+    return V.interactions(t.grouped(), "grp", "entity", "item", "t", "e", t.outcomes(), 20)
+
+
+@query("v7_c_index", f"WITH {O} SELECT CAST(count(CASE WHEN a.c_acctbal > b.c_acctbal THEN 1 END) AS BIGINT) AS concordant, CAST(count(CASE WHEN a.c_acctbal = b.c_acctbal THEN 1 END) AS BIGINT) AS tied, CAST(count(*) AS BIGINT) AS comparable, round((count(CASE WHEN a.c_acctbal > b.c_acctbal THEN 1 END) + count(CASE WHEN a.c_acctbal = b.c_acctbal THEN 1 END) / 2.0) / count(*), 6)::DOUBLE AS c_index FROM o a JOIN o b ON a.t < b.t AND a.e = 1")
+def _(t):
+    return V.c_index(t.outcomes(), "t", "e", "c_acctbal", 8)
+
+
+@query("v8_concordance", f"WITH {O}, p AS (SELECT a.grp, a.entity AS i, b.entity AS j, CASE WHEN a.c_acctbal > b.c_acctbal THEN 1.0 WHEN a.c_acctbal = b.c_acctbal THEN 0.5 ELSE 0 END AS s FROM o a JOIN o b ON a.grp = b.grp AND a.t < b.t AND a.e = 1), q AS (SELECT grp, i AS entity, s FROM p UNION ALL SELECT grp, j, s FROM p) SELECT grp, entity, CAST(count(*) AS BIGINT) AS pairs, round(avg(s), 6)::DOUBLE AS concordance FROM q GROUP BY 1, 2")
+def _(t):
+    return V.concordance_by_entity(t.outcomes(), "entity", "grp", "t", "e", "c_acctbal")
+
+
+@query("v9_time_auc", f"WITH {O}, k AS (SELECT *, CASE WHEN t <= 1500 AND e = 1 THEN 1 ELSE 0 END AS y FROM o WHERE t > 1500 OR e = 1) SELECT 1500.0::DOUBLE AS t, CAST((SELECT count(*) FROM k) AS BIGINT) AS n, round(avg(CASE WHEN a.c_acctbal > b.c_acctbal THEN 1.0 WHEN a.c_acctbal = b.c_acctbal THEN 0.5 ELSE 0 END), 6)::DOUBLE AS auc FROM k a JOIN k b ON a.y = 1 AND b.y = 0")
+def _(t):
+    return V.auc_at(t.outcomes(), "t", "e", "c_acctbal", [1500.0])
+
+
+@query("v10_cox_loss", f"WITH {O}, b AS (SELECT t, sum(exp(c_acctbal / 10000)) AS s, sum(e) AS d, sum(e * c_acctbal / 10000) AS l FROM o GROUP BY 1), r AS (SELECT *, sum(s) OVER (ORDER BY t DESC) AS s0 FROM b) SELECT round(-sum(l - d * ln(s0)) / sum(d), 6)::DOUBLE AS loss, CAST(sum(d) AS DOUBLE) AS events FROM r")
+def _(t):
+    return V.cox_loss(t.outcomes().withColumn("h", F.col("c_acctbal") / 10000), "t", "e", "h")
+
+
+@query("v11_v12_tables", "WITH t AS (SELECT o_orderpriority AS g, count(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 250000 THEN 1 END) * 1.0 AS a, count(CASE WHEN o_orderstatus = 'F' AND o_totalprice <= 250000 THEN 1 END) * 1.0 AS b, count(CASE WHEN o_orderstatus <> 'F' AND o_totalprice > 250000 THEN 1 END) * 1.0 AS c, count(CASE WHEN o_orderstatus <> 'F' AND o_totalprice <= 250000 THEN 1 END) * 1.0 AS d FROM orders GROUP BY 1) SELECT g, round(ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))), 6)::DOUBLE AS log_odds, round((a + b + c + d) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d)), 6)::DOUBLE AS chi2, round(a * (a + b + c + d) / ((a + b) * (a + c)), 6)::DOUBLE AS enrichment FROM t")
+def _(t):
+    tables = T.two_by_two(t.orders.withColumnRenamed("o_orderpriority", "g"), ["g"], F.col("o_orderstatus") == "F", F.col("o_totalprice") > 250000)
+    return T.table_tests(tables).select("g", "log_odds", "chi2", "enrichment")
+
+
+@query("v11_exact_tests")
+def _(t):
+    tables = T.two_by_two(t.orders.withColumnRenamed("o_orderpriority", "g"), ["g"], F.col("o_orderstatus") == "F", F.col("o_totalprice") > 250000)
+    less = T.fisher(F.col("a"), F.col("b"), F.col("c"), F.col("d"), "less")
+    return T.table_tests(tables).withColumn("p_less", less).select("g", "p_chi2", "p_fisher", "p_less")
+
+
+@query("v11_independence", "WITH c AS (SELECT o_orderstatus AS r, o_orderpriority AS k, count(*) AS o FROM orders GROUP BY 1, 2), s AS (SELECT o * 1.0 * o / (sum(o) OVER (PARTITION BY r) * sum(o) OVER (PARTITION BY k)) AS x, sum(o) OVER () AS n FROM c) SELECT round(max(n) * (sum(x) - 1), 4)::DOUBLE AS chi2, CAST(max(n) AS BIGINT) AS n FROM s")
+def _(t):
+    return T.chi2_independence(t.orders, "o_orderstatus", "o_orderpriority").select(F.round("chi2", 4).alias("chi2"), "n")
+
+
+@query("v13_exclusivity", f"WITH {GR}, x AS (SELECT grp, entity, max(CASE WHEN item = 'Brand#1' THEN 1 ELSE 0 END) AS x, max(CASE WHEN item = 'Brand#2' THEN 1 ELSE 0 END) AS y FROM g GROUP BY 1, 2) SELECT grp, CAST(count(*) AS BIGINT) AS n, CAST(sum(x) AS BIGINT) AS n_a, CAST(sum(y) AS BIGINT) AS n_b, CAST(sum(x * y) AS BIGINT) AS \"both\", round(CASE WHEN sum(x) * sum(y) > 0 THEN sum(x * y) * count(*) * 1.0 / (sum(x) * sum(y)) END, 6)::DOUBLE AS ratio FROM x GROUP BY grp")
+def _(t):
+    return T.exclusivity(t.grouped(), "grp", "entity", "item", "Brand#1", "Brand#2")
+
+
+@query("v14_pearson", "SELECT CAST(count(*) AS BIGINT) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def _(t):
+    return T.pearson(t.lineitem, "l_quantity", "l_extendedprice").select("n", "r")
+
+
+@query("v14_spearman", "WITH a AS (SELECT p_size, sum(count(*)) OVER (ORDER BY p_size) - (count(*) - 1) / 2.0 AS x FROM part GROUP BY 1), b AS (SELECT p_retailprice, sum(count(*)) OVER (ORDER BY p_retailprice) - (count(*) - 1) / 2.0 AS y FROM part GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n, round(corr(x, y), 6)::DOUBLE AS r FROM part JOIN a USING (p_size) JOIN b USING (p_retailprice)")
+def _(t):
+    return T.spearman(t.part, "p_size", "p_retailprice").select("n", "r")
+
+
+@query("v14_mann_whitney", "WITH x AS (SELECT c_acctbal AS v, c_mktsegment = 'BUILDING' AS g FROM customer) SELECT CAST((SELECT count(*) FROM x WHERE g) AS BIGINT) AS n1, CAST((SELECT count(*) FROM x WHERE NOT g) AS BIGINT) AS n2, round(sum(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0 END), 4)::DOUBLE AS u, round(avg(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0 END), 6)::DOUBLE AS auc FROM x a JOIN x b ON a.g AND NOT b.g")
+def _(t):
+    return T.mann_whitney(t.customer, "c_acctbal", F.col("c_mktsegment") == "BUILDING").select("n1", "n2", F.round("u", 4).alias("u"), "auc")
+
+
+@query("v14_welch", "WITH s AS (SELECT count(CASE WHEN g THEN 1 END) AS n1, count(CASE WHEN NOT g THEN 1 END) AS n0, avg(CASE WHEN g THEN v END) AS m1, avg(CASE WHEN NOT g THEN v END) AS m0, var_samp(CASE WHEN g THEN v END) AS v1, var_samp(CASE WHEN NOT g THEN v END) AS v0 FROM (SELECT c_acctbal AS v, c_mktsegment = 'BUILDING' AS g FROM customer)) SELECT CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t FROM s")
+def _(t):
+    return T.welch(t.customer, "c_acctbal", F.col("c_mktsegment") == "BUILDING").select("n1", "n0", "t")
+
+
+@query("v15_logistic")
+def _(t):
+    return T.logistic(t.orders.withColumn("x", F.col("o_totalprice") / 100000).withColumn("y", (F.col("o_orderstatus") == "F").cast("int")), ["x"], "y")
+
+
+@query("v16_least_squares", "SELECT 'x' AS term, round(regr_slope(l_extendedprice, l_quantity), 4) AS estimate FROM lineitem UNION ALL SELECT '(intercept)', round(regr_intercept(l_extendedprice, l_quantity), 4) FROM lineitem")
+def _(t):
+    return T.least_squares(t.lineitem.withColumnRenamed("l_quantity", "x"), ["x"], "l_extendedprice").select("term", F.round("estimate", 4).alias("estimate"))
+
+
+@query("v17_ridge")
+def _(t):
+    return T.least_squares(t.part.withColumn("x", F.col("p_size").cast("double")), ["x"], "p_retailprice", ridge=10.0)
+
+
+@query("v19_folds", "WITH r AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) AS r FROM customer) SELECT c_custkey, CAST((r - 1) % 5 AS BIGINT) AS fold FROM r")
+def _(t):
+    return T.folds(t.customer, "c_custkey", "c_mktsegment").select("c_custkey", "fold")
+
+
+@query("v20_rand_index", "WITH c AS (SELECT p_brand AS a, p_type AS b, count(*) AS c FROM part GROUP BY 1, 2), s AS (SELECT sum(c * (c - 1) / 2) AS s, sum(c) AS n FROM c), x AS (SELECT sum(c * (c - 1) / 2) AS x FROM (SELECT sum(c) AS c FROM c GROUP BY a)), y AS (SELECT sum(c * (c - 1) / 2) AS y FROM (SELECT sum(c) AS c FROM c GROUP BY b)) SELECT round((s - x * y / (n * (n - 1) / 2)) / ((x + y) / 2 - x * y / (n * (n - 1) / 2)), 6)::DOUBLE AS ari FROM s, x, y")
+def _(t):
+    return T.rand_index(t.part, "p_brand", "p_type")
+
+
+@query("v21_bootstrap")
+def _(t):
+    return T.bootstrap(t.part.select("p_partkey", "p_size"), F.sum(F.col("w") * F.col("p_size")) / F.sum("w"), 20)
+
+
+@query("v23_gap_profile", f"WITH {O} SELECT grp, CAST(count(CASE WHEN t < 800 THEN 1 END) AS BIGINT) AS gap, round(avg(CASE WHEN t < 800 THEN e END), 6)::DOUBLE AS gap_rate, round(avg(CASE WHEN t >= 800 THEN e END), 6)::DOUBLE AS other_rate, round(quantile_cont(t, 0.9), 6)::DOUBLE AS q90 FROM o GROUP BY grp")
+def _(t):
+    short = F.col("t") < 800
+    return t.outcomes().groupBy("grp").agg(F.count_if(short).alias("gap"), F.avg(F.when(short, F.col("e"))).alias("gap_rate"), F.avg(F.when(~short, F.col("e"))).alias("other_rate"), F.percentile("t", F.lit(0.9)).alias("q90"))
+
+
+# --- similarity and discovery (2.11) ---------------------------------------------------------------------
+
+
+@query("e2_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 100 AND b.vec_id < 100")
+def _(t):
+    v = t.embeddings.where("vec_id < 100")
+    p = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "label").where("a < b")
+    return p.select("a", "b", F.round(M.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
+
+
+_LONG = "x AS (SELECT CAST(c_nationkey AS BIGINT) AS r, p_brand AS c, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+
+
+def _long(t: Tables) -> DataFrame:
+    return t.lines().join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("r"), F.col("p_brand").alias("c")).agg(F.sum("l_quantity").alias("v"))
+
+
+@query("e3_column_correlation", f"WITH {_LONG}, z AS (SELECT r, c, (v - avg(v) OVER (PARTITION BY c)) / stddev_pop(v) OVER (PARTITION BY c) AS z FROM x) SELECT a.c AS a, b.c AS b, CAST(count(*) AS BIGINT) AS n, round(avg(a.z * b.z), 6) AS r FROM z a JOIN z b ON a.r = b.r AND a.c < b.c GROUP BY 1, 2 HAVING count(*) >= 10")
+def _(t):
+    return M.column_correlation(_long(t), "r", "c", "v", 10)
+
+
+@query("e4_pearson_edges", f"WITH {_LONG} SELECT a.c AS a, b.c AS b, CAST(count(*) AS BIGINT) AS n, round(corr(a.v, b.v), 6) AS r FROM x a JOIN x b ON a.r = b.r AND a.c < b.c GROUP BY 1, 2 HAVING abs(corr(a.v, b.v)) >= 0.3")
+def _(t):
+    return M.pearson_edges(_long(t), "r", "c", "v", 0.3, 2.0).drop("p")
+
+
+@query("e5_lin", f"WITH {H}, f AS (SELECT item, -ln(count(DISTINCT entity) * 1.0 / (SELECT count(DISTINCT entity) FROM h)) AS ic FROM h GROUP BY 1), k AS (SELECT entity, item, ic FROM h JOIN f USING (item) WHERE entity < 60), m AS (SELECT entity, max(ic) AS m FROM k GROUP BY 1) SELECT a.entity AS a, b.entity AS b, round(CASE WHEN max(x.m) + max(y.m) > 0 THEN 2 * max(a.ic) / (max(x.m) + max(y.m)) ELSE 0 END, 6)::DOUBLE AS lin FROM k a JOIN k b ON a.item = b.item AND a.entity < b.entity JOIN m x ON x.entity = a.entity JOIN m y ON y.entity = b.entity GROUP BY 1, 2")
+def _(t):
+    h = t.holdings()
+    return M.lin_similarity(h.where("entity < 60"), "entity", "item", A.information_content(h, "item", "entity"))
+
+
+@query("e6_analogous", f"WITH {_LONG}, z AS (SELECT r, c, (v - avg(v) OVER (PARTITION BY c)) / stddev_samp(v) OVER (PARTITION BY c) AS z FROM x), s AS (SELECT r, sqrt(sum(z * z)) AS s FROM z GROUP BY 1) SELECT a.r AS a, b.r AS b, round(sum(a.z * b.z / (x.s * y.s)), 6) AS cosine FROM z a JOIN z b ON a.c = b.c AND a.r < b.r JOIN s x ON x.r = a.r AND x.s >= 1.5 JOIN s y ON y.r = b.r AND y.s >= 1.5 GROUP BY 1, 2 HAVING sum(a.z * b.z / (x.s * y.s)) >= 0.2")
+def _(t):
+    return M.analogous(_long(t), "r", "c", "v", 1.5, 0.2)
+
+
+_PAIRS = f"{H}, n AS (SELECT item, count(*) AS n FROM h GROUP BY 1), q AS (SELECT a.item AS a, b.item AS b, a.n AS n_a, b.n AS n_b, (SELECT count(DISTINCT entity) FROM h) AS n, (SELECT count(*) FROM h x JOIN h y ON x.entity = y.entity WHERE x.item = a.item AND y.item = b.item) AS bo FROM n a JOIN n b ON a.item < b.item)"
+
+
+@query("e7_pair_counts", f"WITH {_PAIRS} SELECT a, b, CAST(bo AS BIGINT) AS \"both\", CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, CAST(n AS BIGINT) AS n FROM q")
+def _(t):
+    return M.pair_counts(t.holdings(), "entity", "item").select("a", "b", "both", "n_a", "n_b", "n")
+
+
+@query("e7_converges")
+def _(t):
+    return M.converges(M.pair_counts(t.lineitem.select(F.col("l_orderkey").alias("e"), F.col("l_suppkey").alias("i")), "e", "i"), 0.6, 5.0, 0.05)
+
+
+@query("e8_enables", "SELECT 'x' AS source, 'x' AS target, 0.0::DOUBLE AS lift, 0.0::DOUBLE AS asymmetry, 0::BIGINT AS \"both\" WHERE false")
+def _(t):
+    return M.enables(M.pair_counts(t.holdings(), "entity", "item"), 1.0)
+
+
+@query("e8_enables_confidence", f"WITH {_PAIRS} SELECT CASE WHEN n_b >= n_a THEN a ELSE b END AS source, CASE WHEN n_b >= n_a THEN b ELSE a END AS target, round(bo * 1.0 * n / (n_a * n_b), 6)::DOUBLE AS lift, round(greatest(n_a, n_b) * 1.0 / least(n_a, n_b), 6)::DOUBLE AS asymmetry, CAST(bo AS BIGINT) AS \"both\" FROM q WHERE bo >= 10 AND bo * 1.0 * n / (n_a * n_b) >= 0.9 AND round(greatest(n_a, n_b) * 1.0 / least(n_a, n_b), 9) >= 1.02")
+def _(t):
+    return M.enables(M.pair_counts(t.holdings(), "entity", "item"), 0.9, 1.02, 10, "confidence")
+
+
+@query("e9_e10_feature_keys", "WITH f AS (SELECT p_partkey AS o, unnest(['brand:' || p_brand, 'size:' || p_size, 'price:' || CAST(floor(p_retailprice / 20) AS BIGINT)]) AS k FROM part), n AS (SELECT k, count(DISTINCT o) AS n FROM f GROUP BY 1 HAVING count(DISTINCT o) BETWEEN 2 AND 50) SELECT a.o AS a, b.o AS b, CAST(count(*) AS BIGINT) AS shared, round(sum(1.0 / n), 6)::DOUBLE AS specificity FROM f a JOIN f b ON a.k = b.k AND a.o < b.o JOIN n ON n.k = a.k GROUP BY 1, 2 HAVING count(*) >= 2")
+def _(t):
+    keys = F.array(F.concat(F.lit("brand:"), "p_brand"), F.concat(F.lit("size:"), F.col("p_size").cast("string")), F.concat(F.lit("price:"), F.floor(F.col("p_retailprice") / 20).cast("string")))
+    return M.feature_join(t.part.select(F.col("p_partkey").alias("o"), F.explode(keys).alias("k")), "k", "o")
+
+
+@query("e12_e13_transposes", """WITH u AS (SELECT p_name AS sig, list_sort(list_distinct([p_type, p_brand])) AS c, min(p_partkey) AS u FROM part GROUP BY 1, 2), p AS (SELECT a.sig, a.u AS a, b.u AS b, CAST(len(list_filter(a.c, lambda x: NOT list_contains(b.c, x))) + len(list_filter(b.c, lambda x: NOT list_contains(a.c, x))) AS BIGINT) AS gap FROM u a JOIN u b ON a.sig = b.sig AND a.u < b.u),
+ r AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY gap DESC, a, b) AS r FROM p WHERE gap >= 2) SELECT sig, a, b, gap FROM r WHERE r = 1""")
+def _(t):
+    return M.transposes(t.part.withColumn("c", F.array("p_type", "p_brand")).withColumnRenamed("p_name", "sig"), "sig", "p_partkey", F.col("c"))
+
+
+@query("e16_votes", "WITH s AS (SELECT DISTINCT p_brand AS gene, p_size AS st FROM part), m AS (SELECT DISTINCT p_brand AS gene, CASE WHEN CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS ch FROM part WHERE CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) < 15), k AS (SELECT st, ch FROM s JOIN m USING (gene)), v AS (SELECT gene, ch, count(*) AS votes FROM s JOIN k USING (st) WHERE gene NOT IN (SELECT gene FROM m) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY votes DESC, ch) AS r FROM v) SELECT gene, ch, CAST(votes AS BIGINT) AS votes FROM r WHERE r = 1")
+def _(t):
+    i = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    sets = t.part.select(F.col("p_brand").alias("gene"), F.col("p_size").alias("st")).distinct()
+    known = t.part.where(i < 15).select(F.col("p_brand").alias("gene"), F.when(i % 2 == 0, "even").otherwise("odd").alias("ch")).distinct()
+    return M.vote(known, sets, "gene", "st", "ch")
+
+
+@query("e17_contradictions", "SELECT p_name, CAST(count(DISTINCT p_type) AS BIGINT) AS n FROM part GROUP BY p_name HAVING count(DISTINCT p_type) > 1")
+def _(t):
+    return M.contradictions(t.part, "p_name", "p_type").select("p_name", "n")
+
+
+# --- documents, scalars, streams (2.12) --------------------------------------------------------------------
+
+
+@query("d1_sections")
+def _(t):
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    marked = lines.withColumn("line", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("# "), F.substring("line", 1, 20))).when(F.col("pos") % 4 == 2, F.concat(F.lit("## "), F.substring("line", 1, 20))).otherwise(F.col("line")))
+    return D.sections(marked, "doc_id", "pos", "line").select("doc_id", "pos", "is_heading", F.array_join("section_path", " > ").alias("path"))
+
+
+@query("d2_d4_chunks")
+def _(t):
+    return D.chunk(t.documents, "doc_id", "text")
+
+
+@query("d3_strip")
+def _(t):
+    return t.documents.select("doc_id", D.strip_markup(F.col("text")).alias("text"))
+
+
+@query("d6_unit", "SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm, 1.0::DOUBLE AS unit_norm FROM embeddings")
+def _(t):
+    v = t.embeddings.select("vec_id", "embedding", M.unit(F.col("embedding")).alias("u"))
+    return v.select("vec_id", F.round(F.sqrt(M.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"), F.round(F.sqrt(M.dot(F.col("u"), F.col("u"))), 5).alias("unit_norm"))
+
+
+@query("d7_d8_kmeans")
+def _(t):
+    placed, _ = D.kmeans(t.embeddings, "vec_id", "embedding", 4)
+    return placed.groupBy("class").agg(F.count(F.lit(1)).alias("n")).crossJoin(D.silhouette(placed))
+
+
+_CENTRES = "p AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM p GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1)"
+
+
+@query("d9_memberships", f"WITH {_CENTRES}, s AS (SELECT vec_id, e.label AS own, c.label AS class, list_inner_product(CAST(embedding AS DOUBLE[]), c) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS score FROM embeddings e, c) SELECT vec_id, class::BIGINT AS class, round(score, 5) AS score, own = class AS is_primary FROM s WHERE own = class OR score >= 0.05")
+def _(t):
+    c = D.centroids(t.embeddings, "embedding", "label")
+    return D.memberships(t.embeddings, "vec_id", "embedding", "label", c, 0.05).withColumn("score", F.round("score", 5))
+
+
+@query("d9_bridge_pairs")
+def _(t):
+    c = D.centroids(t.embeddings, "embedding", "label")
+    return D.bridge_pairs(D.memberships(t.embeddings, "vec_id", "embedding", "label", c, 0.05), "vec_id").withColumn("keys", F.size("keys"))
+
+
+@query("d10_labels", "WITH w AS (SELECT lang, unnest(string_split_regex(lower(substr(text, 1, 200)), '[^a-z]+')) AS w FROM documents WHERE lang = 'en'), n AS (SELECT lang, w, count(*) AS n FROM w WHERE length(w) > 3 AND w NOT IN ('that', 'this', 'with', 'from', 'were', 'have', 'their', 'which', 'these', 'those', 'into', 'over', 'under', 'than', 'then', 'there', 'where', 'when', 'what') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM n) SELECT lang, string_agg(w, ' ' ORDER BY r) AS words FROM r WHERE r <= 3 GROUP BY lang")
+def _(t):
+    return D.class_labels(t.documents.where("lang = 'en'").withColumn("title", F.substring("text", 1, 200)), "lang", "title")
+
+
+@query("d11_structure")
+def _(t):
+    x = D.structure(t.documents.where("doc_id < 50").withColumn("text", F.concat(F.lit(r"Theorem 1.2 holds. \cite{ab} \textbf{bold} $x+1$ "), "text")), "text")
+    return x.select("doc_id", *(F.array_join(c, "|").alias(c) for c in D.STRUCTURE))
+
+
+@query("d12_tfidf")
+def _(t):
+    return D.tfidf(t.benchmark, "item_id", "text")
+
+
+@query("d14_representatives", f"WITH {_CENTRES}, s AS (SELECT e.label, vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), c) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS score FROM embeddings e JOIN c ON c.label = e.label), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM s) SELECT label::BIGINT AS label, vec_id, round(score, 5) AS score, CAST(r AS BIGINT) AS rank FROM r WHERE r <= 3")
+def _(t):
+    return D.representatives(t.embeddings, "vec_id", "embedding", "label", D.centroids(t.embeddings, "embedding", "label")).withColumn("score", F.round("score", 5))
+
+
+@query("d13_d15_d16_manifest")
+def _(t):
+    c = D.centroids(t.embeddings, "embedding", "label")
+    members = D.memberships(t.embeddings, "vec_id", "embedding", "label", c, 0.05)
+    reps = D.representatives(t.embeddings, "vec_id", "embedding", "label", c)
+    manifest = D.cross_manifest(c, "label", D.bridge_pairs(members, "vec_id"))
+    scores = D.score_pairs(reps, t.embeddings, "vec_id", "embedding", "label")
+    collated = D.collate(members, t.embeddings, "vec_id", reps, "label").select(F.col("class").alias("class_a"), F.col("n").alias("n_a"))
+    return manifest.join(scores, ["class_a", "class_b"]).join(collated, "class_a")
+
+
+@query("d17_pending", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(t):
+    return D.pending(t.documents.select("doc_id"), t.labels, "doc_id")
+
+
+@query("f1_f6_scalars", """SELECT event_id, upper(event_type) AS u, CAST(json_extract(props, '$.k') AS BIGINT) AS k, substr(sha256(event_type), 1, 16) AS h, round(ln(1 + value), 6) AS l, round(1 / (1 + exp(-value / 10)), 6) AS s, greatest(least(value, 10.0), 1.0) AS c, strftime(ts, '%Y-%m-%d') AS day FROM events""")
+def _(t):
+    v = F.col("value")
+    return t.events.select("event_id", F.upper("event_type").alias("u"), F.from_json("props", "k long")["k"].alias("k"), S.short_digest(F.col("event_type")).alias("h"), F.log1p(v).alias("l"), S.sigmoid(v / 10).alias("s"), S.clip(v, 1.0, 10.0).alias("c"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+@query("f2_position", "SELECT p_partkey, TRY_CAST(regexp_extract(p_brand, '[A-Z*]?([0-9]+)', 1) AS BIGINT) AS pos FROM part")
+def _(t):
+    return t.part.select("p_partkey", S.protein_position(F.col("p_brand")).alias("pos"))
+
+
+@query("f8_convert", "SELECT p_partkey, round(CASE p_type WHEN 'SMALL' THEN p_size / 60.0 WHEN 'PROMO' THEN p_size * 12.0 END, 6)::DOUBLE AS converted FROM part")
+def _(t):
+    k = F.col("p_type")
+    df = t.part.select("p_partkey", "p_size", F.when(k == "SMALL", "minutes").when(k == "PROMO", "feet").otherwise("hour").alias("a"), F.when(k == "SMALL", "Hour").otherwise("inches").alias("b"))
+    return S.convert(df, "p_size", "a", "b").select("p_partkey", "converted")
+
+
+@query("f9_verbs", "SELECT event_type, CASE event_type WHEN 'purchase' THEN 'subtract' WHEN 'signup' THEN 'add' WHEN 'click' THEN 'multiply' END AS operation, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def _(t):
+    table = t.spark.sql("SELECT * FROM VALUES ('purchase', 'subtract', 'lemma'), ('purchase', 'add', 'learned'), ('sign', 'add', 'lemma'), ('lick', 'multiply', 'phrase') AS v(entry, operation, kind)")
+    return S.resolve_verb(t.events, "event_type", table).groupBy("event_type", "operation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f10_f11_chain", "SELECT p_partkey, (p_size - 3 - 4) * 2.0::DOUBLE AS x, CAST(((p_size % 7) + 7) % 7 AS DOUBLE) AS r FROM part")
+def _(t):
+    steps = F.array(*(F.struct(F.lit(o).alias("op"), F.lit(v).alias("value")) for o, v in (("subtract", 3.0), ("subtract", 4.0), ("multiply", 2.0))))
+    return t.part.select("p_partkey", S.fold_chain(F.col("p_size"), steps).alias("x"), S.operate(F.col("p_size").cast("double"), F.lit("remainder"), F.lit(7.0)).alias("r"))
+
+
+@query("f15_templates")
+def _(t):
+    return S.two_step_templates(t.part.where("p_partkey < 20").select("p_partkey", F.array(F.col("p_size").cast("double"), F.lit(3.0), F.lit(4.0)).alias("n")), "p_partkey", "n")
+
+
+@query("f16_signature", "SELECT item_id, CASE WHEN length(text) >= 0 THEN 'at least+is a' END AS s FROM benchmark")
+def _(t):
+    return t.benchmark.select("item_id", S.signature(F.lit("X is a set; at least 2, at least 3"), S.QUANTIFIERS + S.PREDICATES).alias("s"))
+
+
+@query("f17_claims", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'confirmed' WHEN s_suppkey % 3 = 1 THEN 'novel' ELSE 'no_data' END AS status FROM supplier")
+def _(t):
+    text = F.when(F.col("s_suppkey") % 3 == 0, "TP53 inhibits MDM2.").when(F.col("s_suppkey") % 3 == 1, "We see TP53 binds KRAS here").otherwise("ABC1 activates KRAS")
+    found = S.claims(t.supplier.select("s_suppkey", text.alias("text")), "text")
+    edges = t.spark.sql("SELECT 'MDM2' AS src, 'TP53' AS dst")
+    known = t.spark.sql("SELECT explode(array('TP53', 'MDM2', 'KRAS')) AS name")
+    return S.claim_status(found, edges, known).select("s_suppkey", "status")
+
+
+@query("f18_validate", f"WITH {E} SELECT src, dst, 'self_loop' AS problem FROM e WHERE src = dst UNION ALL SELECT src, dst, 'value_range' FROM e WHERE value < 0 OR value > 20 UNION ALL SELECT src, dst, 'unknown_source' FROM e WHERE src NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def _(t):
+    e = t.edges()
+    rule = lambda df, name: df.select("src", "dst", F.lit(name).alias("problem"))
+    known = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("src"))
+    return rule(e.where("src = dst"), "self_loop").unionByName(rule(e.where("value < 0 OR value > 20"), "value_range")).unionByName(rule(e.join(known, "src", "left_anti"), "unknown_source"))
+
+
+@query("c24_by_unit", "SELECT CAST(l_orderkey AS BIGINT) AS p, l_returnflag AS unit, round(sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END), 6) AS hub, round(coalesce(product(CASE WHEN l_linenumber <> 1 THEN l_linenumber END), 1), 6)::DOUBLE AS scale FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2")
+def _(t):
+    df = t.lineitem.where("l_orderkey < 500").select(F.col("l_orderkey").alias("p"), F.col("l_returnflag").alias("unit"), F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(F.col("l_linenumber").cast("double")).alias("v"), F.when(F.col("l_linenumber") == 1, "hub").otherwise("scale").alias("role"))
+    return S.by_unit(df, "p", "unit", "v", "role")
+
+
+@query("st1_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(t):
+    return streams.windowed(t.events, "ts", "10 minutes", "1 hour", by=("event_type",)).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("st1_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '2 hours' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, s")
+def _(t):
+    return streams.sessions(t.events, "ts", "10 minutes", "2 hours", "user_id").select("user_id", "start", "n")
+
+
+@query("st3_daily_segments", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def _(t):
+    return streams.daily_segments(t.events, "ts", "1 day", "event_type")
+
+
+@query("sk5_merge", f"WITH {E} SELECT src, dst, etype, CASE WHEN src % 2 = 0 THEN (value * 2 + 9) / 3 ELSE value END AS value, CAST(CASE WHEN src % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n_sources FROM e UNION ALL SELECT -1, -1, 'NEW', 9.0, 1")
+def _(t):
+    now = F.lit("2024-01-01").cast("timestamp")
+    current = t.edges().select("src", "dst", "etype", "value", F.lit(2).alias("n_sources"), F.lit("load").alias("source"), now.alias("created_at"), now.alias("updated_at"), F.lit(False).alias("deprecated"))
+    batch = t.edges().where("src % 2 = 0").select("src", "dst", "etype", F.lit(9.0).alias("value"))
+    batch = batch.unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit("NEW").alias("etype"), F.lit(9.0).alias("value")))
+    return writers.merge_edges(current, batch, "test", "2024-02-01").select("src", "dst", "etype", "value", "n_sources")
+
+
+@query("sk10_compaction", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS rel_type, 's' AS source, CAST(count(*) AS BIGINT) AS n_edges FROM events WHERE ts < TIMESTAMP '2024-01-08' GROUP BY 1, 2")
+def _(t):
+    entries = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("rel_type"), F.lit("s").alias("source"))
+    return writers.compact(entries, "2024-01-15")
+
+
+# --- composed analyses (2.13) --------------------------------------------------------------------------------
+
+
+@query("c1_scripting", f"""WITH {MUT}, f AS (SELECT entity, min(item) AS i FROM m GROUP BY 1), k AS (SELECT f.entity, m.grp AS script FROM f JOIN m ON m.entity = f.entity AND m.item = f.i)
+ SELECT m.entity, CAST(count(CASE WHEN exp(value) > 1.1 THEN 1 END) AS BIGINT) AS harmful, CAST(count(CASE WHEN exp(value) < 0.9 THEN 1 END) AS BIGINT) AS protective, round(avg(value), 6) AS mean_log_hr, round(avg(CASE WHEN grp = script THEN 1.0 ELSE 0 END), 6)::DOUBLE AS on_script FROM m JOIN k ON k.entity = m.entity GROUP BY 1""")
+def _(t):
+    m = _mutations(t)
+    script = m.groupBy("entity").agg(F.min_by("grp", "item").alias("script"))
+    return m.join(script, "entity").groupBy("entity").agg(F.count_if(F.exp("value") > 1.1).alias("harmful"), F.count_if(F.exp("value") < 0.9).alias("protective"), F.avg("value").alias("mean_log_hr"), F.avg((F.col("grp") == F.col("script")).cast("int")).alias("on_script"))
+
+
+@query("c5_clinical", "SELECT o_custkey, CAST(min(CASE WHEN o_orderstatus = 'F' THEN epoch(o_orderdate) END) // 86400 AS BIGINT) AS first_f, CAST(coalesce(min(CASE WHEN o_orderstatus = 'F' THEN epoch(o_orderdate) END), max(epoch(o_orderdate))) // 86400 AS BIGINT) AS time FROM orders GROUP BY 1")
+def _(t):
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))
+    first = F.min(F.when(F.col("o_orderstatus") == "F", day))
+    return t.orders.groupBy("o_custkey").agg(first.alias("first_f"), F.coalesce(first, F.max(day)).alias("time"))
+
+
+@query("c7_cross_vs_same", f"WITH {MUT}, {O}, k AS (SELECT entity, count(DISTINCT grp) AS channels FROM m WHERE p_size > 45 GROUP BY 1) SELECT CAST(channels AS BIGINT) AS channels, CAST(count(*) AS BIGINT) AS n, round(avg(e), 6) AS rate FROM k JOIN o USING (entity) GROUP BY 1")
+def _(t):
+    k = t.lines().where("p_size > 45").groupBy(F.col("o_custkey").alias("entity")).agg(F.countDistinct("p_type").alias("channels"))
+    return k.join(t.outcomes(), "entity").groupBy("channels").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("rate"))
+
+
+@query("c8_remapping", f"WITH {MUT}, k AS (SELECT entity, count(DISTINCT CAST(regexp_extract(brand, '([0-9]+)', 1) AS INT) % 3) AS k3, count(DISTINCT CAST(regexp_extract(brand, '([0-9]+)', 1) AS INT) % 8) AS k8 FROM m GROUP BY 1) SELECT entity, CAST(k3 AS BIGINT) AS k3, CAST(k8 AS BIGINT) AS k8 FROM k")
+def _(t):
+    i = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    return t.lines().groupBy(F.col("o_custkey").alias("entity")).agg(F.countDistinct(i % 3).alias("k3"), F.countDistinct(i % 8).alias("k8"))
+
+
+@query("c15_directed", f"WITH {H}, n AS (SELECT item, count(*) AS c FROM h GROUP BY 1), p AS (SELECT a.item AS a, b.item AS b, count(*) AS n FROM h a JOIN h b ON a.entity = b.entity AND a.item < b.item GROUP BY 1, 2) SELECT CASE WHEN x.c >= y.c THEN a ELSE b END AS \"primary\", CASE WHEN x.c >= y.c THEN b ELSE a END AS secondary, CAST(n AS BIGINT) AS n, round(CASE WHEN x.c >= y.c THEN (x.c - y.c) / 10.0 ELSE (y.c - x.c) / 10.0 END, 6)::DOUBLE AS gap FROM p JOIN n x ON x.item = a JOIN n y ON y.item = b")
+def _(t):
+    h = t.holdings()
+    return K.directed_pairs(h, "entity", "item", h.groupBy("item").agg((F.count(F.lit(1)) / 10.0).alias("value")))
+
+
+@query("c16_synergy", "WITH x AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS i FROM lineitem), v AS (SELECT o_orderkey AS e, o_totalprice / 1000 AS v FROM orders), s AS (SELECT i, avg(v) AS m FROM x JOIN v USING (e) GROUP BY 1), g AS (SELECT avg(v) AS g FROM v) SELECT a.i AS a, b.i AS b, CAST(count(*) AS BIGINT) AS n, round(avg(v) - (max(p.m) + max(q.m) - max(g)), 4) AS synergy FROM x a JOIN x b ON a.e = b.e AND a.i < b.i JOIN v ON v.e = a.e JOIN s p ON p.i = a.i JOIN s q ON q.i = b.i, g GROUP BY 1, 2 HAVING count(*) >= 12")
+def _(t):
+    x = t.lineitem.select(F.col("l_orderkey").alias("e"), F.col("l_suppkey").alias("i")).distinct()
+    v = t.orders.select(F.col("o_orderkey").alias("e"), (F.col("o_totalprice") / 1000).alias("v"))
+    s = x.join(v, "e").groupBy("i").agg(F.avg("v").alias("m"))
+    p = R.pairs_within(x, ["e"], "i").join(v, "e").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m")).where("n >= 12")
+    p = p.join(s.select(F.col("i").alias("a"), F.col("m").alias("ma")), "a").join(s.select(F.col("i").alias("b"), F.col("m").alias("mb")), "b").crossJoin(F.broadcast(v.agg(F.avg("v").alias("g"))))
+    return p.select("a", "b", "n", F.round(F.col("m") - (F.col("ma") + F.col("mb") - F.col("g")), 4).alias("synergy"))
+
+
+@query("c21_ladder_summary", "SELECT p_type, CASE p_type WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LARGE' THEN 3 ELSE 9 END::BIGINT AS step, round(median(p_retailprice), 6) AS med, round(quantile_cont(p_retailprice, 0.75), 6) AS q75 FROM part GROUP BY 1")
+def _(t):
+    k = F.col("p_type")
+    return t.part.groupBy("p_type").agg(F.median("p_retailprice").alias("med"), F.percentile("p_retailprice", F.lit(0.75)).alias("q75")).withColumn("step", F.when(k == "SMALL", 1).when(k == "MEDIUM", 2).when(k == "LARGE", 3).otherwise(9))
+
+
+@query("c25_missing_pairs", f"WITH {GR}, c AS (SELECT grp, item, count(DISTINCT entity) AS n FROM g GROUP BY 1, 2 HAVING count(DISTINCT entity) >= 3) SELECT grp, item, CAST(n AS BIGINT) AS n FROM c WHERE (grp, item) NOT IN (SELECT CAST(n_nationkey AS BIGINT), 'Brand#' || (n_nationkey + 1) FROM nation)")
+def _(t):
+    known = t.nation.select(F.col("n_nationkey").cast("long").alias("grp"), F.concat(F.lit("Brand#"), (F.col("n_nationkey") + 1).cast("string")).alias("item"))
+    return R.recurrent(t.grouped(), ["grp", "item"], "entity", 3).join(known, ["grp", "item"], "left_anti")
