@@ -12,20 +12,25 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def _timed(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """A watermark; streams need an instant, so local times are read in the session's zone."""
+    return (df.withColumn(ts, F.col(ts).cast("timestamp")) if df.isStreaming else df).withWatermark(ts, late)
+
+
 def windowed(df: DataFrame, ts: str, late: str, size: str, slide: str | None = None, by: tuple[str, ...] = (), value: str = "value") -> DataFrame:
     """Tumbling or sliding windows: start, end, keys, n, total.  Works alike on a batch."""
-    kept = df.withWatermark(ts, late)
+    kept = _timed(df, ts, late)
     return kept.groupBy(F.window(ts, size, slide or size), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n", "total")
 
 
 def sessions(df: DataFrame, ts: str, late: str, gap: str, key: str) -> DataFrame:
     """Sessions of a key, ended by a gap: key, start, end, n."""
-    return df.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    return _timed(df, ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def daily_segments(df: DataFrame, ts: str, late: str, kind: str) -> DataFrame:
     """Entries by UTC day and kind."""
-    return df.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), kind, "n")
+    return _timed(df, ts, late).groupBy(F.window(ts, "1 day"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), kind, "n")
 
 
 def stale_sources(files: DataFrame, built_at: Column) -> DataFrame:
