@@ -1306,3 +1306,156 @@ def _(t):
 def _(t):
     known = t.nation.select(F.col("n_nationkey").cast("long").alias("grp"), F.concat(F.lit("Brand#"), (F.col("n_nationkey") + 1).cast("string")).alias("item"))
     return R.recurrent(t.grouped(), ["grp", "item"], "entity", 3).join(known, ["grp", "item"], "left_anti")
+
+
+from .functions import language as L  # noqa: E402
+from .plans import cohort as C  # noqa: E402
+
+
+@query("f12_expression", "SELECT p_partkey, CAST(p_size + 3 * 4 - 2 AS DOUBLE) AS v, (p_size - 1) / 2.0::DOUBLE AS w FROM part WHERE p_partkey < 300")
+def _(t):
+    n = F.col("p_size").cast("string")
+    return t.part.where("p_partkey < 300").select("p_partkey", L.expression_value(F.concat(n, F.lit(" plus three times 4 - 2"))).alias("v"), L.expression_value(F.concat(F.lit("("), n, F.lit(" minus one) over 2"))).alias("w"))
+
+
+@query("f13_solve", "SELECT p_partkey, (p_size + 4) / 2.0::DOUBLE AS x, p_size - (p_size + 4) / 2.0::DOUBLE AS y FROM part WHERE p_partkey < 200")
+def _(t):
+    n = F.col("p_size").cast("string")
+    s = L.solve(F.array(F.concat(F.lit("x + y = "), n), F.lit("x - y = 4")))
+    return t.part.where("p_partkey < 200").select("p_partkey", s["x"].alias("x"), s["y"].alias("y"))
+
+
+@query("f14_roles", "SELECT s_suppkey, CAST(s_suppkey % 7 + 1 AS DOUBLE) AS value, 'apple' AS unit, 'scale' AS role FROM supplier UNION ALL SELECT s_suppkey, 20.0, 'box', 'hub' FROM supplier")
+def _(t):
+    text = F.concat(F.lit("She has "), (F.col("s_suppkey") % 7 + 1).cast("string"), F.lit(" apples per bag and 20 box of them"))
+    return L.quantity_roles(t.supplier.select("s_suppkey", text.alias("t")), "s_suppkey", "t")
+
+
+@query("f20_coverage", "SELECT s_suppkey, 3::BIGINT AS stated, 2::BIGINT AS used, round(2 / 3.0, 6)::DOUBLE AS coverage FROM supplier")
+def _(t):
+    df = t.supplier.select("s_suppkey", F.lit("2 pens, 7 caps and 9.5 m").alias("t"), F.array(F.lit(2.0), F.lit(9.5)).alias("u"))
+    return L.parse_coverage(df, "s_suppkey", "t", "u").drop("missing")
+
+
+@query("d5_hashed_embedding")
+def _(t):
+    return L.hashed_embedding(t.benchmark, "item_id", "text", 16).select("item_id", *(F.col("embedding")[i].alias(f"x{i}") for i in range(16)))
+
+
+def _channels(t: Tables) -> DataFrame:
+    return t.lines().where("p_size > 45").select(F.col("o_custkey").alias("entity"), F.col("p_partkey").alias("item"), F.col("p_type").alias("channel")).distinct()
+
+
+@query("c2_status_matrix", """WITH a AS (SELECT o_custkey AS entity, max((p_type = 'PROMO')::INT) AS p, max((p_type = 'SMALL')::INT) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size > 45 GROUP BY 1), b AS (SELECT o_custkey AS entity, max((o_orderstatus = 'F')::INT) AS f FROM orders GROUP BY 1)
+ SELECT a.entity, CAST(p AS BIGINT) AS "hit_PROMO", CAST(s AS BIGINT) AS "hit_SMALL", CAST(coalesce(f, 0) AS BIGINT) AS "site_F" FROM a LEFT JOIN b ON a.entity = b.entity""")
+def _(t):
+    return C.status_matrix(_channels(t), "entity", "channel", ["PROMO", "SMALL"], t.orders.select(F.col("o_custkey").alias("entity"), "o_orderstatus"), "o_orderstatus", ["F"])
+
+
+_CH = "ch AS (SELECT DISTINCT o_custkey AS entity, p_partkey AS item, p_type AS channel FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size > 45)"
+
+
+@query("c3_treatment_match", f"""WITH {_CH}, {O}, tr AS (SELECT DISTINCT o_custkey AS entity, o_orderstatus AS arm FROM orders), tg AS (SELECT * FROM (VALUES ('F', 'PROMO'), ('O', 'SMALL')) v(arm, channel)), hit AS (SELECT DISTINCT tr.entity, tr.arm FROM tr JOIN tg ON tg.arm = tr.arm JOIN ch ON ch.entity = tr.entity AND ch.channel = tg.channel)
+ SELECT tr.arm, hit.entity IS NOT NULL AS matched, CAST(count(*) AS BIGINT) AS n, CAST(sum(e) AS BIGINT) AS events, round(median(t), 6)::DOUBLE AS median_time FROM tr JOIN o ON o.entity = tr.entity LEFT JOIN hit ON hit.entity = tr.entity AND hit.arm = tr.arm GROUP BY 1, 2""")
+def _(t):
+    targets = t.spark.sql("SELECT * FROM VALUES ('F', 'PROMO'), ('O', 'SMALL') AS v(arm, channel)")
+    return C.treatment_match(_channels(t), t.orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderstatus").alias("arm")), targets, t.outcomes())
+
+
+@query("c4_treatment_vector", "SELECT p_partkey, CAST(contains(p_name, 'red') AS BIGINT) AS a, CAST(contains(p_name, 'ring') OR contains(p_name, 'red') AS BIGINT) AS b FROM part")
+def _(t):
+    classes = t.spark.sql("SELECT * FROM VALUES ('red', array(0, 1)), ('ring', array(1)) AS v(name, indices)")
+    return C.treatment_vector(t.part, "p_partkey", "p_name", classes, 2).select("p_partkey", F.col("vector")[0].alias("a"), F.col("vector")[1].alias("b"))
+
+
+@query("c6_depth", f"""WITH {_CH}, {O}, p AS (SELECT entity, count(DISTINCT channel) AS k, count(*) AS n FROM ch GROUP BY 1 HAVING count(DISTINCT channel) = 2), m AS (SELECT median(n) AS m FROM p), x AS (SELECT o.t, o.e, CASE WHEN n > m THEN 1 ELSE 0 END AS d FROM p JOIN o USING (entity), m), b AS (SELECT t, count(*) AS n0, sum(d) AS m0, sum(e) AS d, sum(d * e) AS d1 FROM x GROUP BY 1), r AS (SELECT *, sum(n0) OVER (ORDER BY t DESC) * 1.0 AS n, sum(m0) OVER (ORDER BY t DESC) * 1.0 AS m FROM b)
+ SELECT CAST(sum(d1) AS BIGINT) AS observed, round(sum(d * m / n), 6)::DOUBLE AS expected FROM r WHERE d > 0""")
+def _(t):
+    return C.depth_within(_channels(t), t.outcomes(), 2).select("observed", "expected")
+
+
+@query("c7_cross_or_same", f"WITH {_CH}, {O}, p AS (SELECT entity, CASE WHEN count(DISTINCT channel) > 1 THEN 'cross' ELSE 'same' END AS kind FROM ch GROUP BY 1 HAVING count(*) > 1) SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(e) AS BIGINT) AS events, round(avg(e), 6) AS rate FROM p JOIN o USING (entity) GROUP BY 1")
+def _(t):
+    return C.cross_or_same(_channels(t), t.outcomes())
+
+
+@query("c9_adjusted_cox")
+def _(t):
+    df = t.outcomes().withColumn("x", F.col("c_acctbal") / 10000).withColumn("r", (F.col("grp") % 3).cast("string"))
+    return C.adjusted_cox(df, "x", "r", ["0", "1", "2"])
+
+
+@query("c10_covariates", "SELECT event_type AS e, min(CASE WHEN user_id % 2 = 0 THEN CAST(value AS VARCHAR) END) IS NOT NULL AS a FROM events GROUP BY 1")
+def _(t):
+    long = t.events.select(F.col("event_type").alias("e"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("n"), F.col("value").cast("string").alias("v"))
+    return C.covariates(long, "e", "n", "v", ["a", "b"]).select("e", F.col("a").isNotNull().alias("a"))
+
+
+@query("c11_cooccurrence", f"WITH {_CH}, c AS (SELECT DISTINCT entity, channel FROM ch), p AS (SELECT a.channel AS a, b.channel AS b, count(*) AS n FROM c a JOIN c b ON a.entity = b.entity AND a.channel < b.channel GROUP BY 1, 2) SELECT a, b, CAST(n AS BIGINT) AS n, round(1.0 / n, 6)::DOUBLE AS distance FROM p WHERE n >= (SELECT median(n) FROM p)")
+def _(t):
+    return C.cooccurrence_distance(_channels(t), "channel")
+
+
+@query("c12_comparison", "WITH x AS (SELECT c_mktsegment = 'BUILDING' AS g, (c_acctbal > 5000)::INT AS rich, (c_nationkey % 2)::INT AS odd FROM customer), l AS (SELECT g, 'rich' AS site, rich AS v FROM x UNION ALL SELECT g, 'odd', odd FROM x), t AS (SELECT site, count(CASE WHEN g AND v = 1 THEN 1 END) AS a, count(CASE WHEN g AND v = 0 THEN 1 END) AS b, count(CASE WHEN NOT g AND v = 1 THEN 1 END) AS c, count(CASE WHEN NOT g AND v = 0 THEN 1 END) AS d FROM l GROUP BY 1) SELECT site, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, CAST(d AS BIGINT) AS d, round(ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))), 6)::DOUBLE AS log_odds FROM t")
+def _(t):
+    x = t.customer.select(F.col("c_mktsegment"), (F.col("c_acctbal") > 5000).cast("int").alias("rich"), (F.col("c_nationkey") % 2).cast("int").alias("odd"))
+    return C.group_comparison(x, F.col("c_mktsegment") == "BUILDING", "e", ["rich", "odd"]).drop("p_fisher")
+
+
+@query("c13_terminal_residues", "SELECT CAST(count(*) AS BIGINT) AS n, round(corr(p_size / (50.0 + p_partkey % 10), abs(ln(p_retailprice / 1000))), 6)::DOUBLE AS r FROM part WHERE p_size > 0")
+def _(t):
+    atlas = t.part.select(F.col("p_partkey").alias("g"), F.col("p_size").alias("pos"), (F.col("p_retailprice") / 1000).alias("hr"))
+    lengths = t.part.select(F.col("p_partkey").alias("g"), (50 + F.col("p_partkey") % 10).alias("length"))
+    return C.terminal_residues(atlas, lengths, "g", "pos", "hr").select("n", "r")
+
+
+@query("c14_position_severity", "SELECT p_type AS channel, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'hub' ELSE 'leaf' END AS place, CAST(count(*) AS BIGINT) AS n, round(avg(p_retailprice), 6) AS mean_hr, round(median(p_retailprice), 6) AS median_hr FROM part GROUP BY 1, 2")
+def _(t):
+    hubs = t.spark.sql("SELECT explode(array('Brand#1', 'Brand#2')) AS id")
+    return C.position_severity(t.part.withColumnRenamed("p_type", "channel"), hubs, "p_brand", "channel", "p_retailprice")
+
+
+@query("c17_decomposition", f"WITH {O}, p AS (SELECT a.c_acctbal AS x, b.c_acctbal AS y, a.grp AS g, b.grp AS h FROM o a JOIN o b ON a.t < b.t AND a.e = 1) SELECT 'balance' AS level, round(avg(CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0 END), 6)::DOUBLE AS c_index FROM p UNION ALL SELECT 'group', round(avg(CASE WHEN g > h THEN 1.0 WHEN g = h THEN 0.5 ELSE 0 END), 6)::DOUBLE FROM p")
+def _(t):
+    return C.decomposition(t.outcomes(), {"balance": "c_acctbal", "group": "grp"}, "t", "e")
+
+
+@query("c18_confidence_bins")
+def _(t):
+    return C.confidence_bins(t.outcomes(), "c_acctbal", 3, "t", "e", "grp")
+
+
+@query("c19_escalation", f"WITH {_CH}, {O}, c AS (SELECT entity, channel, count(*) AS c FROM ch GROUP BY 1, 2), h AS (SELECT entity, round(-sum(p * log2(p)), 9) AS h FROM (SELECT *, c * 1.0 / sum(c) OVER (PARTITION BY entity) AS p FROM c) GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n, round(corr(h, t), 5)::DOUBLE AS r FROM h JOIN o USING (entity)")
+def _(t):
+    h = A.entropy(_channels(t), ["entity"], "channel")
+    return T.pearson(h.join(t.outcomes(), "entity"), "entropy", "t").select("n", F.round("r", 5).alias("r"))
+
+
+@query("c20_gap_proposals", f"WITH {GR}, {O}, x AS (SELECT g.grp, item, t < 1200 AS gap FROM g JOIN o USING (entity)), n AS (SELECT grp, item, count(CASE WHEN gap THEN 1 END) AS a, count(CASE WHEN NOT gap THEN 1 END) AS b FROM x GROUP BY 1, 2), t AS (SELECT grp, greatest(count(CASE WHEN gap THEN 1 END), 1) AS g, greatest(count(CASE WHEN NOT gap THEN 1 END), 1) AS o FROM x GROUP BY 1) SELECT n.grp, item, CAST(a AS BIGINT) AS n_gap, round((a + 0.5) / g / ((b + 0.5) / o), 6)::DOUBLE AS ratio FROM n JOIN t ON t.grp = n.grp WHERE a >= 2 AND (a + 0.5) / g / ((b + 0.5) / o) >= 1.3 AND item <> 'Brand#1'")
+def _(t):
+    cases = t.grouped().join(t.outcomes().select("entity", "t"), "entity")
+    known = t.nation.select(F.col("n_nationkey").cast("long").alias("grp"), F.lit("Brand#1").alias("item"))
+    return C.gap_proposals(cases, "grp", "item", F.col("t") < 1200, known, 2, 1.3)
+
+
+@query("c22_class_enrichment", "WITH p AS (SELECT p_type AS k, count(CASE WHEN p_size > 25 THEN 1 END) AS a, count(CASE WHEN p_size <= 25 THEN 1 END) AS b FROM part GROUP BY 1), t AS (SELECT sum(a) AS x, sum(b) AS y FROM p) SELECT k, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(x - a AS BIGINT) AS c, CAST(y - b AS BIGINT) AS d, round(ln((a + 0.5) * (y - b + 0.5) / ((b + 0.5) * (x - a + 0.5))), 6)::DOUBLE AS log_odds FROM p, t")
+def _(t):
+    return C.class_enrichment(t.part.withColumnRenamed("p_type", "k"), "k", F.col("p_size") > 25).drop("p_fisher")
+
+
+@query("c23_weighted_fit", "WITH x AS (SELECT p_size * 1.0 AS x, p_retailprice AS y, p_partkey % 3 + 1.0 AS w FROM part), m AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM x) SELECT 'x' AS term, round(sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)), 4)::DOUBLE AS estimate FROM x, m")
+def _(t):
+    df = t.part.select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 3 + 1.0).alias("w"))
+    return T.least_squares(df, ["x"], "y", "w").where("term = 'x'").select("term", F.round("estimate", 4).alias("estimate"))
+
+
+@query("v17_ridge_search")
+def _(t):
+    df = t.part.select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("x"), "p_retailprice")
+    return C.ridge_search(df, ["x"], "p_retailprice", "p_partkey", "p_brand", [0.1, 100.0], 3)
+
+
+@query("g27_refresh", f"WITH {E}, d AS (SELECT src AS id, count(*) AS degree FROM u GROUP BY 1) SELECT id, CAST(degree AS BIGINT) AS degree, round(degree * 1.0 / (SELECT max(degree) FROM d), 6)::DOUBLE AS relative FROM d")
+def _(t):
+    jobs = {"edges": ([], t.edges), "degree": (["edges"], G.degrees), "relative": (["degree"], lambda d: d.crossJoin(F.broadcast(d.agg(F.max("degree").alias("m")))).select("id", "degree", (F.col("degree") / F.col("m")).alias("relative")))}
+    return C.refresh(jobs)["relative"]
