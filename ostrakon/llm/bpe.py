@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,10 +28,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import frugal, texts_of
 
 #: Unicode White_Space; a fixed value of the normaliser.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = re.compile("[\x1c-\x1f]")
 _BUILT: dict[str, ForcedBoundaryBPE] = {}
 
 
@@ -42,15 +44,18 @@ def _byte_alphabet() -> list[str]:
 
 
 class Remembered(dict):
-    """Results of a function by argument, of which at most so many are kept."""
+    """Results of a function by argument, in two generations of at most ``most`` each: what is asked for again survives."""
 
     def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         if len(key) < 200:
             self[key] = value
@@ -60,15 +65,17 @@ class Remembered(dict):
 class ForcedBoundaryBPE:
     """Encoder and decoder for one vocabulary with word-end marks."""
 
-    def __init__(self, spec: str, most_cached: int = 400_000):
+    def __init__(self, spec: str, most_cached: int = 160_000):
         spec = json.loads(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.merged: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.vocab[left], self.vocab[right]] = rank, self.vocab[left + right]
+            self.ranks[self.vocab[left], self.vocab[right]] = rank
+            self.merged.append(self.vocab[left + right])
         self.alphabet = _byte_alphabet()
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
@@ -99,30 +106,39 @@ class ForcedBoundaryBPE:
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Apply merges, lowest rank first and leftmost among equals."""
-        merges = self.merges
-        if len(ids) <= 40:
-            while len(ids) > 1:
-                best = min(((m[0], i, m[1]) for i in range(len(ids) - 1) if (m := merges.get((ids[i], ids[i + 1])))), default=None)
-                if best is None:
+        get, merged = self.ranks.get, self.merged
+        if len(ids) <= 64:
+            never = len(merged)
+            ranks = [get(p, never) for p in zip(ids, ids[1:])]
+            while ranks:
+                best = min(ranks)
+                if best == never:
                     break
-                ids[best[1] : best[1] + 2] = [best[2]]
+                i = ranks.index(best)
+                ids[i : i + 2] = [merged[best]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((ids[i - 1], ids[i]), never)
+                if i < len(ranks):
+                    ranks[i] = get((ids[i], ids[i + 1]), never)
             return ids
         n = len(ids)
         before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
+            new = merged[rank]
             j = after[i] if alive[i] else n
             if not alive[i] or j >= n or ids[i] != left or ids[j] != right:
                 continue
             ids[i], alive[j], after[i] = new, False, after[j]
             if after[j] < n:
                 before[after[j]] = i
-                if m := merges.get((new, ids[after[j]])):
-                    heapq.heappush(heap, (m[0], i, m[1], new, ids[after[j]]))
-            if before[i] >= 0 and (m := merges.get((ids[before[i]], new))):
-                heapq.heappush(heap, (m[0], before[i], m[1], ids[before[i]], new))
+                if (m := get((new, ids[after[j]]))) is not None:
+                    heapq.heappush(heap, (m, i, new, ids[after[j]]))
+            if before[i] >= 0 and (m := get((ids[before[i]], new))) is not None:
+                heapq.heappush(heap, (m, before[i], ids[before[i]], new))
         return [x for x, a in zip(ids, alive) if a]
 
     def _fragment(self, fragment: bytes, last: bool) -> tuple[int, ...]:
@@ -133,7 +149,7 @@ class ForcedBoundaryBPE:
             if last:
                 chars[-1] += self.suffix
             found = tuple(self._merge([self.vocab[c] for c in chars]))
-            if len(self.fragments) >= self.most_cached:
+            if len(self.fragments) >= self.most_cached // 4:
                 self.fragments.clear()
             if len(fragment) < 200:
                 self.fragments[key] = found
@@ -168,9 +184,10 @@ class ForcedBoundaryBPE:
                 out.append((self.specials[part].to_bytes(4, "little"), part))
             elif part:
                 # Case is mapped character by character, so a capital sigma never becomes a final one.
-                part = self.space_re.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
-                if part := part.strip(" "):
-                    out += map(chunks.__getitem__, part.split(" "))
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                # str.split also splits at four separators that the vocabulary's white space lacks.
+                found = part.split() if part.isprintable() or not SEPARATORS.search(part) else [c for c in self.space_re.split(part) if c]
+                out += map(chunks.__getitem__, found)
         return out
 
     def encode(self, text: str) -> bytes:
@@ -232,7 +249,7 @@ def digest_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
                 second.append(sha(" ".join([p[1] for p in pieces]).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded_corpus(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -259,4 +276,4 @@ def encoded_corpus(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     narrow = docs.select("doc_id", "lang", "source", "n_chars", "text")
     kinds = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in names[:4])
-    return narrow.mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>, decoded_sha256 string")
+    return narrow.mapInArrow(frugal(run), f"{kinds}, n_tokens long, ids array<int>, decoded_sha256 string")
