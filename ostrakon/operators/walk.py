@@ -221,3 +221,19 @@ def directed_pairs(df: DataFrame, entity: str, item: str, value: DataFrame) -> D
         p = p.join(n.select(F.col(item).alias(end), F.col("c").alias(f"c{end}")), end).join(value.select(F.col(item).alias(end), F.col("value").alias(f"v{end}")), end, "left")
     first = F.col("ca") >= F.col("cb")
     return p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("primary"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("secondary"), "n", F.when(first, F.col("va") - F.col("vb")).otherwise(F.col("vb") - F.col("va")).alias("gap"))
+
+
+def calibrate(evaluate, names: Sequence[str], low: float, high: float, trials: int, seed: int = 42) -> tuple[dict[str, float], float]:
+    """Random search on the driver for the weights with the highest ``evaluate(weights)``; the first of equals wins."""
+    import random
+
+    rng = random.Random(seed)
+    best: tuple[dict[str, float], float] | None = None
+    for _ in range(trials):
+        weights = {n: rng.uniform(low, high) for n in names}
+        value = float(evaluate(weights))
+        if best is None or value > best[1]:
+            best = weights, value
+    if best is None:
+        raise ValueError("no trials")
+    return best

@@ -37,3 +37,11 @@ def test_average_linkage():
 def test_clinical_times(spark):
     df = spark.createDataFrame([("p", "dead", 5, None), ("p", "dead", None, 9), ("q", "alive", None, 7), ("r", "alive", None, 0)], "p string, s string, d int, f int")
     assert sorted(map(tuple, C.clinical_times(df, "p", F.col("s") == "dead", "d", "f").collect())) == [("p", 5, 1), ("q", 7, 0)]
+
+
+def test_calibration_is_reproducible():
+    from ostrakon.operators.walk import calibrate
+
+    score = lambda w: -((w["a"] - 0.3) ** 2)
+    one, two = (calibrate(score, ["a"], 0, 1, 200) for _ in range(2))
+    assert one == two and abs(one[0]["a"] - 0.3) < 0.05
