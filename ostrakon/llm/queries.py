@@ -76,4 +76,5 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "op2_chat": chat.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
+    "op10_jaccard_join": partenum.ORACLE_SQL,
 }
