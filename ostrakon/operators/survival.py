@@ -1,7 +1,9 @@
 """Survival analysis on aggregates by time.
 
-Rows are first counted by distinct time; risk sets are running sums over
-times, in two levels, so no task sees a whole table.
+Rows are first counted by distinct time, with partial sums on each task; what
+is left is a row a time and group.  Cox risk sets and the C-index then work in
+two levels over times; curves and log-rank tests take the distinct times of one
+group in one task.
 """
 
 from __future__ import annotations
