@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of
+from .common import bytes_of, frugal
 
 _CLASS = np.zeros(256, np.int64)
 for _name, _code in ((range(0x61, 0x7B), 1), (range(0x41, 0x5B), 2), (range(0x30, 0x3A), 3), ((0x20, 0x09, 0x0D), 4), ((0x0A,), 5), (range(0x80, 0x100), 6), ((0x2E, 0x2C, 0x3B, 0x3A, 0x3F, 0x27, 0x22, 0x2D, 0x28, 0x29, 0x3D, 0x5F, 0x40, 0x2F, 0x2B, 0x3C, 0x3E), 7)):
@@ -266,4 +266,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
             keep = pa.array(shared.value.score(text, meta)[2] >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(columns))], names=columns).filter(keep)
 
-    return carried.mapInArrow(run, docs.schema)
+    return carried.mapInArrow(frugal(run), docs.schema)

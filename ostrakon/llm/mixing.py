@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, word_count
+from .common import WORD, frugal, materialise, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -208,7 +208,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 512, **options) -> DataF
             out = [t if b is None else cut_text(t, list(zip(b, w)), block_words) for t, b, w in zip(texts, bs, ws)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : len(columns)]], names=columns)
 
-    mixed = flat.mapInArrow(run, docs.schema)
+    mixed = flat.mapInArrow(frugal(run), docs.schema)
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else mixed
 
 

@@ -28,34 +28,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bytes_of, hash_words, mix64
+from .common import WordHashes, bytes_of, frugal, mix64
 
 BITS = 22
 _TRIM = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
 
 class Words(dict):
-    """raw token -> (hash of the word without marks around it, hash of its stem)."""
+    """Kept within a task only.  raw token -> (hash of the word without marks around it, hash of its stem)."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = WordHashes()
 
     def __missing__(self, raw: bytes) -> tuple[int, int]:
         word = _TRIM.sub(b"", raw.lower()) or raw
-        value = HASHES[word], HASHES[b"\x01" + word.decode("utf-8", "ignore")[:5].encode()]
-        if len(self) > 300_000:
+        value = self.hashes[word], self.hashes[b"\x01" + word.decode("utf-8", "ignore")[:5].encode()]
+        self.hashes.trim()
+        if len(self) > 150_000:
             self.clear()
         self[raw] = value
         return value
 
 
-HASHES = WordHashes()
-
-
 def feature_ids(text: bytes, words: Words, bits: int = BITS) -> np.ndarray:
     """The distinct hashed features of a text, sorted."""
     raw = text.split()
     if not raw:
         return np.empty(0, np.int64)
     pairs = np.array([words[w] for w in raw], dtype=np.uint64)
-    HASHES.trim()
     h = pairs[:, 0]
     a, b, c = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
     parts = [h, pairs[:, 1], mix64(h[:-1] * a + h[1:]), mix64(h[:-2] * b + h[2:] * c)]
@@ -139,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_ne
             rows = [feature_ids(t, words).astype(np.int32).tobytes() for t in bytes_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary")
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(frugal(run), "doc_id long, y int, x binary")
     found = picked.toArrow()
     ids, ys, xs = found.column("doc_id").to_pylist(), found.column("y").to_pylist(), found.column("x").to_pylist()
     del found
@@ -163,7 +164,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
             scores = [sigmoid(float(dense[feature_ids(t, words)].sum(dtype=np.float64)) + model.intercept) for t in bytes_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -187,4 +188,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
         for batch in batches:
             yield batch.filter(pa.array([sigmoid(float(dense[feature_ids(t, words)].sum(dtype=np.float64)) + model.intercept) < threshold for t in bytes_of(batch, "text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
