@@ -15,8 +15,8 @@ with a coarser one on the steps they share.  The likeness of two fingerprints
 is twice the share of agreeing bits less one, over the longer of both, held
 within 0 and 1.
 
-``near_classes`` finds near duplicates: bit samples make bands, texts that
-share a band are candidates of the band's least id, and the likeness of the
+``near_classes`` finds near duplicates: bit samples over the whole fingerprint
+make bands, texts that share a band are candidates, and the likeness of the
 whole fingerprints verifies them.
 
 Defined cases: null texts count as empty; the empty text has an empty
@@ -30,7 +30,7 @@ a place each; empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 from operator import getitem, itemgetter
@@ -44,7 +44,9 @@ from .common import materialise, mix64, texts_of
 from .partenum import components
 
 CLASSES, PERIOD, SAMPLES = 64, 4096, 1024
-BANDS, BAND_BITS = 40, 24
+BAND_BITS = 24
+#: Bands of a room, the factor between the lengths of rooms, and the side of a tile of pairs.
+ROOM_BANDS, GRID, TILE = 40, 1.06, 1024
 
 
 @lru_cache(1)
@@ -145,46 +147,86 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, n_chars long, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def bands_of(print_: str) -> list[int]:
+def rooms_of(n: int, least: float) -> np.ndarray:
+    """Lengths, from a grid common to all fingerprints, within which bands of a fingerprint of n bits pick.
+
+    Fingerprints with a likeness of at least ``least`` differ in length by that
+    factor at most, so the greatest grid length within the shorter one is among
+    those of both: bands see the whole of what the two share, up to the factor
+    of the grid.
+    """
+    grid = np.unique((GRID ** np.arange(int(np.log(max(n, 2)) / np.log(GRID)) + 2)).astype(np.int64))
+    return grid[(grid >= least * n / GRID - 1) & (grid <= n)]
+
+
+@lru_cache(10_000)
+def positions(room: int) -> np.ndarray:
+    """The bits of each band within a room."""
+    at = np.arange(ROOM_BANDS * BAND_BITS, dtype=np.uint64) + np.uint64(77 + (room << 20))
+    return (mix64(at) % np.uint64(room)).astype(np.int64)
+
+
+def bands_of(print_: str, least: float = 0.8) -> list[int]:
     """Band keys at the fingerprint's level and the next coarser one, so texts on both sides of a change of level meet.
 
-    Bands pick from a stretch that every text of about this length has.
+    Bands pick from the whole fingerprint, by rooms of the lengths it may share.
     """
     level, bits = unpack(print_)
     out = []
     for up in (0, 1):
         own = bits[:: 1 << up]
-        if len(own):
-            room = min(SAMPLES // 4 >> up, 1 << (len(own).bit_length() - 1))
-            at = (mix64(np.arange(BANDS * BAND_BITS, dtype=np.uint64) + np.uint64(77)) % np.uint64(room)).astype(np.int64)
-            for k, row in enumerate(np.packbits(own[at].reshape(BANDS, BAND_BITS), axis=1)):
-                out.append(int.from_bytes(hashlib.blake2b(b"%d,%d,%b" % (level + up, k, row.tobytes()), digest_size=8).digest(), "little", signed=True))
+        for room in rooms_of(len(own), least).tolist():
+            for k, row in enumerate(np.packbits(own[positions(room)].reshape(ROOM_BANDS, BAND_BITS), axis=1)):
+                out.append(int.from_bytes(hashlib.blake2b(b"%d,%d,%d,%b" % (level + up, room, k, row.tobytes()), digest_size=8).digest(), "little", signed=True))
     return out
 
 
+def tile_pairs(prints: list[str], left: np.ndarray, right: np.ndarray, open_: Callable[[int, np.ndarray], np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Pairs (x, y) of ``left`` and ``right`` (places in ``prints``) with the least likeness; ``open_`` picks the y to try for an x."""
+    own = [unpack(p) for p in prints]
+    level, padded = np.array([v for v, _ in own]), {}
+    for v in sorted(set(level.tolist())):
+        cut = [b[:: 1 << (v - u)] if u <= v else b[:0] for u, b in own]
+        size = np.array([len(b) for b in cut])
+        bits = np.full((len(own), size.max(initial=0)), 2, np.uint8)
+        for row, b in zip(bits, cut):
+            row[: len(b)] = b
+        padded[v] = size, bits
+    for x in left:
+        tried = open_(x, right)
+        for v, (size, bits) in padded.items():
+            y = tried[np.maximum(level[tried], level[x]) == v]
+            n = size[x]
+            agree = (bits[y, :n] == bits[x, :n]).sum(1)
+            short, long = np.minimum(size[y], n), np.maximum(size[y], n)
+            like = np.where(long > 0, np.maximum(0, (2 * agree - short) / np.maximum(long, 1)), 1.0)
+            yield from ((int(x), int(k)) for k in y[like >= least])
+
+
 def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id, links: near duplicates by banding and verification of fingerprints.
 
     Equal fingerprints are one vertex.  In each band every member is compared
     with the least id and with the member before it in the order of
-    fingerprints, so work is linear in the size of a band.  Links are those
-    verified.
+    fingerprints, which settles most bands in linear time.  Where members of a
+    band still lie in several components, all pairs between components are
+    compared, in tiles.  Links are those verified.
     """
     prints = materialise(fingerprints(docs), "prints").where("doc_id IS NOT NULL")
     reps = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "print-reps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [bands_of(p) for p in batch.column(0).to_pylist()]
+            keys = [bands_of(p, least) for p in batch.column(0).to_pylist()]
             n = np.fromiter(map(len, keys), np.int64, len(keys))
             yield pa.RecordBatch.from_arrays([pa.array([k for row in keys for k in row], pa.int64()), batch.column(1).take(pa.array(np.repeat(np.arange(len(n)), n)))], names=["band", "rep"])
 
     banded = reps.mapInArrow(run, "band long, rep long").distinct()
     leads = materialise(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("k"), "lead"), "band-leads")
     named = reps.select(F.col("rep").alias("r"), F.col("fingerprint").alias("p"))
-    members = banded.join(leads, F.col("band") == F.col("k")).join(named, F.col("rep") == F.col("r"))
+    members = materialise(banded.join(leads, F.col("band") == F.col("k")).select("band", "rep", "lead"), "band-members")
     before = F.lag("rep").over(Window.partitionBy("band").orderBy("p", "rep"))
-    pairs = members.withColumn("before", before).select("rep", F.explode(F.array_distinct(F.array_compact(F.array("lead", "before")))).alias("other"))
+    pairs = members.join(named, F.col("rep") == F.col("r")).withColumn("before", before).select("rep", F.explode(F.array_distinct(F.array_compact(F.array("lead", "before")))).alias("other"))
     pairs = pairs.where("rep <> other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
     for end in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("rep").alias(end), F.col("fingerprint").alias(f"p{end}")), end)
@@ -196,8 +238,29 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["a", "b"])
 
     links = materialise(pairs.select("a", "b", "pa", "pb").mapInArrow(verify, "a long, b long"), "print-links")
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     labels = components(links).select(F.col("v").alias("rep"), "c")
+    placed = materialise(members.select("band", "rep").join(labels, "rep", "left").withColumn("c", F.coalesce("c", "rep")), "band-components")
+    open_bands = placed.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 2 AND c0 <> c1").select("band", "m")
+    ranked = placed.join(open_bands, "band").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    # A pair is compared in the least of its common bands only.
+    listed = ranked.groupBy("rep").agg(F.collect_list("band").alias("bands"))
+    sides = ranked.join(listed, "rep").join(named, F.col("rep") == F.col("r")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    sides = sides.select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "c", "p", "bands")
+
+    def tiles(key: tuple, group: pa.Table) -> pa.Table:
+        band, i, j = (k.as_py() for k in key)
+        tile, rep, c = (group.column(x).to_numpy() for x in ("tile", "rep", "c"))
+        bands = [set(b) for b in group.column("bands").to_pylist()]
+        other = lambda x, y: y[(c[y] != c[x]) & ((rep[y] > rep[x]) if i == j else True)]
+        found = tile_pairs(group.column("p").to_pylist(), np.flatnonzero(tile == i), np.flatnonzero(tile == j), other, least)
+        out = [(min(rep[x], rep[y]), max(rep[x], rep[y])) for x, y in found if min(bands[x] & bands[y]) == band]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    more = materialise(sides.groupBy("band", "i", "j").applyInArrow(tiles, "a long, b long"), "print-more-links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links).select(F.col("v").alias("rep"), "c")
+    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     own = reps.join(labels, "rep", "left").join(degree, "rep", "left")
     return prints.join(own, "fingerprint").select("doc_id", F.coalesce("c", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
