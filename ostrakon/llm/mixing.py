@@ -113,6 +113,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 def blocks(sizes: DataFrame, targets: DataFrame, block_words: int = 512, seed: int = 0) -> DataFrame:
     """A row for each block: passes in full, words of the last pass (``part``) and its rank in its source's permutation.
 
+    ``last_rank`` counts the blocks with words only, as those without are not drawn in the last pass.
+
     ``targets`` has a row a source; its size was checked, so it is broadcast.
     """
     wanted = F.floor(F.col("target") + 0.5)
@@ -129,14 +131,14 @@ def blocks(sizes: DataFrame, targets: DataFrame, block_words: int = 512, seed: i
         .withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.ceil(F.col("source_blocks") / F.col("per_bucket")) / F.lit(4294967296)).cast("long"))
     )
     cut = cut.select("doc_id", "source", "size", "copy", "source_size", "target", "passes", "rest", "block", "words", "h", "bucket")
-    totals = cut.groupBy("source", "bucket").agg(F.sum("words").alias("bw"), F.count(F.lit(1)).alias("bn"))
+    totals = cut.groupBy("source", "bucket").agg(F.sum("words").alias("bw"), F.count(F.lit(1)).alias("bn"), F.sum((F.col("words") > 0).cast("long")).alias("ln"))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bw").over(along), F.lit(0)).alias("words_before"), F.coalesce(F.sum("bn").over(along), F.lit(0)).alias("blocks_before"))
+    starts = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bw").over(along), F.lit(0)).alias("words_before"), F.coalesce(F.sum("bn").over(along), F.lit(0)).alias("blocks_before"), F.coalesce(F.sum("ln").over(along), F.lit(0)).alias("last_before"))
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "copy", "block")
-    ranked = cut.withColumn("own_words", F.sum("words").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).withColumn("own_rank", F.row_number().over(within) - 1)
+    ranked = cut.withColumn("own_words", F.sum("words").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).withColumn("own_rank", F.row_number().over(within) - 1).withColumn("own_last", F.sum((F.col("words") > 0).cast("long")).over(within.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("words") > 0).cast("long"))
     joined = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.col("rest") - F.col("words_before") - F.col("own_words")))
-    return joined.select("doc_id", "source", "size", "copy", "source_size", "target", "passes", "block", "words", part.alias("part"), (F.col("blocks_before") + F.col("own_rank")).alias("rank"), "h")
+    return joined.select("doc_id", "source", "size", "copy", "source_size", "target", "passes", "block", "words", part.alias("part"), (F.col("blocks_before") + F.col("own_rank")).alias("rank"), (F.col("last_before") + F.col("own_last")).alias("last_rank"), "h")
 
 
 def draws(plan: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
@@ -149,7 +151,7 @@ def draws(plan: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     quotas = split_tree([r.n * r.passes + r["last"] for r in stats], shards, seed)
     edges = plan.sparkSession.createDataFrame([(r.source, int(r.n), [int(x) for x in np.cumsum(q)]) for r, q in zip(stats, quotas)], "s string, n long, edges array<long>")
     drawn = plan.withColumn("pass", F.explode(F.expr("filter(sequence(0L, passes), p -> p < passes OR part > 0)"))).withColumn("n_words", F.when(F.col("pass") < F.col("passes"), F.col("words")).otherwise(F.col("part")))
-    placed = drawn.join(F.broadcast(edges), F.col("source").eqNullSafe(F.col("s"))).withColumn("at", F.col("pass") * F.col("n") + F.col("rank"))
+    placed = drawn.join(F.broadcast(edges), F.col("source").eqNullSafe(F.col("s"))).withColumn("at", F.col("pass") * F.col("n") + F.when(F.col("pass") < F.col("passes"), F.col("rank")).otherwise(F.col("last_rank")))
     return placed.select(
         "doc_id", "source", "size", "copy", "source_size", "target", "block", "words", "pass", "n_words",
         F.expr("size(filter(edges, e -> e <= at))").alias("shard"),
