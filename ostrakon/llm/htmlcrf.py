@@ -33,7 +33,7 @@ from .common import texts_of
 from .htmlpages import labelled_pages
 from .htmltree import INLINE, Node, parse
 
-SKIPPED = frozenset("head script style title noscript template textarea select option iframe svg math object canvas audio video datalist".split())
+SKIPPED = frozenset("head script style title textarea select option datalist".split())
 #: The kinds of a child that have pair potentials of their own; elements in none are 3, inline ones 4.
 KINDS = {t: k for k, tags in enumerate(("article main", "body div section details figure html", "aside dialog footer form header nav fieldset")) for t in tags.split()}
 N_KINDS = 5

@@ -9,7 +9,9 @@ import re
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title xmp noembed noframes".split())
+#: Roots of foreign content, in which a tag may close itself and which a block of HTML ends.
+FOREIGN = frozenset("svg math".split())
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: start tag -> open elements that it closes, up to the nearest of the last set.
@@ -23,7 +25,7 @@ CLOSES = {
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
 #: Elements whose text stands in a line with what surrounds it.
-INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark output q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("annotation maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics svg text tspan canvas audio video object a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark output q s samp small span strike strong sub sup time tt u var wbr".split())
 #: An end tag of a block closes whatever is open inside the block.
 SPECIAL = frozenset("body article section main div table ul ol dl nav aside header footer form td th li blockquote figure".split())
 
@@ -41,6 +43,15 @@ def attributes(source: str) -> dict[str, str]:
     return {k.lower(): html.unescape((v or "").strip("\"'")) for k, v in ATTRIBUTE.findall(source)}
 
 
+def foreign(at: Node) -> Node | None:
+    """The svg or math element around a node, if no element of HTML stands between."""
+    while at.parent is not None and at.tag not in SPECIAL and at.tag != "foreignobject":
+        if at.tag in FOREIGN:
+            return at
+        at = at.parent
+    return None
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are mended as browsers do, scripts and styles are dropped."""
     root = at = Node("#root", {}, None)
@@ -64,6 +75,8 @@ def parse(page: str) -> Node:
                 at = up.parent
             continue
         if tag in ENDS_P:
+            while (outer := foreign(at)) is not None:
+                at = outer.parent
             up = at
             while up.parent is not None and up.tag != "p" and up.tag not in SPECIAL and up.tag != "button":
                 up = up.parent
@@ -79,11 +92,11 @@ def parse(page: str) -> Node:
             at = found
         node = Node(tag, attributes(m[3]) if m[3] else {}, at)
         at.children.append(node)
-        if tag in VOID or (m[3] or "").rstrip().endswith("/") and tag in RAW | VOID:
+        if tag in VOID or (m[3] or "").rstrip().endswith("/") and (tag in RAW or foreign(node) is not None):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, place)
-            place = end.end() if end else n
+            place = end.end() if end else n if tag in ("script", "style") else place
             continue
         at = node
     return root
