@@ -10,7 +10,7 @@ import time
 HEADLINE = [
     "sc6_parquet_scan", "j8_range_join", "j9_tiered_lookup", "j11_jaccard_join", "j12_feature_join", "a13_entropy", "a14_stereotypy", "a23_cooccurrence", "a28_calibration",
     "w2_average_rank", "g6_two_paths", "g8_k_hop", "g10_components", "g17_propagation", "k1_entity_walk", "k4_attention", "k10_hierarchical", "k20_held_out",
-    "v1_kaplan_meier", "v2_log_rank", "v4_v5_cox_atlas", "v7_c_index", "e3_column_correlation", "e5_lin", "d2_d4_chunks", "d12_tfidf", "st1_tumbling",
+    "v1_kaplan_meier", "v2_log_rank", "v4_v5_cox_atlas", "v7_c_index", "e3_column_correlation", "e2_cosine", "d2_d4_chunks", "d12_tfidf", "st1_tumbling",
 ]
 
 

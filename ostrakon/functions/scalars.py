@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Units by name with dimension and size in the dimension's base unit.
+# Units with their other names, dimension and size in the dimension's base unit.
 UNITS = [
-    ("second", "time", 1.0), ("minute", "time", 60.0), ("hour", "time", 3600.0), ("day", "time", 86400.0), ("week", "time", 604800.0),
-    ("inch", "length", 0.0254), ("foot", "length", 0.3048), ("yard", "length", 0.9144), ("mile", "length", 1609.344),
-    ("millimeter", "length", 0.001), ("centimeter", "length", 0.01), ("meter", "length", 1.0), ("kilometer", "length", 1000.0),
-    ("gram", "mass", 1.0), ("kilogram", "mass", 1000.0), ("ounce", "mass", 28.349523125), ("pound", "mass", 453.59237),
-    ("milliliter", "volume", 0.001), ("liter", "volume", 1.0), ("cent", "money", 0.01), ("dollar", "money", 1.0),
-    ("one", "count", 1.0), ("pair", "count", 2.0), ("dozen", "count", 12.0),
+    ("millisecond", "milliseconds ms", "time", 0.001), ("second", "seconds sec secs", "time", 1.0), ("minute", "minutes min mins", "time", 60.0),
+    ("hour", "hours hr hrs", "time", 3600.0), ("day", "days", "time", 86400.0), ("week", "weeks", "time", 604800.0),
+    ("month", "months", "time", 2592000.0), ("year", "years", "time", 31536000.0),
+    ("inch", "inches in", "length_imperial", 1.0), ("foot", "feet ft", "length_imperial", 12.0), ("yard", "yards yd", "length_imperial", 36.0), ("mile", "miles mi", "length_imperial", 63360.0),
+    ("millimeter", "millimeters mm", "length_metric", 0.1), ("centimeter", "centimeters cm", "length_metric", 1.0), ("meter", "meters m", "length_metric", 100.0), ("kilometer", "kilometers km", "length_metric", 100000.0),
+    ("penny", "pennies", "currency_usd", 0.01), ("nickel", "nickels", "currency_usd", 0.05), ("dime", "dimes", "currency_usd", 0.10), ("quarter", "quarters", "currency_usd", 0.25), ("dollar", "dollars", "currency_usd", 1.0),
+    ("each", "single one", "quantity", 1.0), ("pair", "pairs", "quantity", 2.0), ("couple", "", "quantity", 2.0), ("dozen", "dozens", "quantity", 12.0), ("score", "", "quantity", 20.0), ("gross", "", "quantity", 144.0),
 ]
 
 # Operations with their inverse and identity.
@@ -25,8 +26,9 @@ OPERATIONS = [
 
 
 def units(spark: SparkSession) -> DataFrame:
-    """name, dimension, size."""
-    return spark.createDataFrame(UNITS, "name string, dimension string, size double")
+    """name, unit, dimension, size: a row for each name of a unit."""
+    rows = [(name, unit, dimension, size) for unit, others, dimension, size in UNITS for name in (unit, *others.split())]
+    return spark.createDataFrame(rows, "name string, unit string, dimension string, size double")
 
 
 def operations(spark: SparkSession) -> DataFrame:
@@ -35,20 +37,14 @@ def operations(spark: SparkSession) -> DataFrame:
 
 
 def convert(df: DataFrame, value: str, source: str, target: str, to: str = "converted") -> DataFrame:
-    """The value in another unit; null between dimensions or for unknown units.  The unit table is fixed and small."""
+    """The value in another unit; null between dimensions (imperial and metric lengths are two) or for unknown units.  The unit table is fixed and small."""
     table = F.broadcast(units(df.sparkSession))
-    a = table.select(F.lower("name").alias("__a"), F.col("dimension").alias("__da"), F.col("size").alias("__sa"))
-    b = table.select(F.lower("name").alias("__b"), F.col("dimension").alias("__db"), F.col("size").alias("__sb"))
-    joined = df.join(a, singular(F.col(source)) == F.col("__a"), "left").join(b, singular(F.col(target)) == F.col("__b"), "left")
+    a = table.select(F.col("name").alias("__a"), F.col("dimension").alias("__da"), F.col("size").alias("__sa"))
+    b = table.select(F.col("name").alias("__b"), F.col("dimension").alias("__db"), F.col("size").alias("__sb"))
+    joined = df.join(a, F.lower(F.trim(source)) == F.col("__a"), "left").join(b, F.lower(F.trim(target)) == F.col("__b"), "left")
     return joined.withColumn(to, F.when(F.col("__da") == F.col("__db"), F.col(value) * F.col("__sa") / F.col("__sb"))).drop("__a", "__b", "__da", "__db", "__sa", "__sb")
 
 
-def singular(unit: Column) -> Column:
-    """A unit's name in lower case and the singular."""
-    u = F.lower(F.trim(unit))
-    return F.when(u == "feet", "foot").when(u == "inches", "inch").otherwise(F.regexp_replace(u, "s$", ""))
-
-
 def operate(a: Column, op: Column, b: Column) -> Column:
     """One of the seven operations; null for an unknown one and for division by zero."""
     nonzero = F.when(b != 0, b)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -395,7 +395,12 @@ def coherence(edges: DataFrame) -> DataFrame:
 
 
 #: Weights of the composite confidence; fixed values.
-CONFIDENCE = {"spectral": 0.20, "bootstrap": 0.25, "triangle": 0.15, "provenance": 0.15, "link": 0.15, "coherence": 0.10}
+CONFIDENCE = {"spectral": 0.20, "bootstrap": 0.15, "triangle": 0.15, "provenance": 0.15, "link": 0.25, "coherence": 0.10}
+
+
+def provenance_share(mean_types: Column) -> Column:
+    """The provenance part of the composite confidence: the mean number of evidence types of an edge, full at three."""
+    return F.least(mean_types / 3, F.lit(1.0))
 
 
 def composite_confidence(df: DataFrame) -> DataFrame:

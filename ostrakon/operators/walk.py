@@ -192,20 +192,26 @@ def hotspots(df: DataFrame, node: str, spot: str, entity: str, least: int = 50)
     return n.withColumn("rank", F.row_number().over(Window.partitionBy(node).orderBy(F.desc("n"), spot)))
 
 
-def held_out_ranks(holdings: DataFrame, entity: str, item: str, affinity: DataFrame) -> DataFrame:
-    """entity, held, rank: one item of each entity, chosen by a hash, is predicted from the others by summed affinity (a, b, weight).
+def held_out_ranks(holdings: DataFrame, entity: str, item: str) -> DataFrame:
+    """entity, held, rank: one item of each entity, chosen by a hash, is predicted from its others.
 
-    Rank is one more than the number of items with a higher score.
+    The affinity of two items is the number of entities that hold both, counted
+    without the held-out items, so none of them tells on itself.  Rank is one
+    more than the number of items with a higher sum of affinities.
     """
+    from .relational import pairs_within
+
     one = holdings.select(entity, item).distinct()
     w = Window.partitionBy(entity).orderBy(F.md5(F.concat_ws(":", F.col(entity).cast("string"), F.col(item).cast("string"))), item)
-    marked = one.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(entity))).where("__n > 1")
-    held, known = marked.where("__r = 1").select(entity, F.col(item).alias("held")), marked.where("__r > 1").select(entity, F.col(item).alias("a"))
-    both = affinity.select("a", "b", "weight").unionByName(affinity.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    scores = known.join(both, "a").groupBy(entity, "b").agg(F.sum("weight").alias("s"))
-    own = held.join(scores.select(entity, F.col("b").alias("held"), F.col("s").alias("mine")), [entity, "held"], "left").fillna(0.0, ["mine"])
-    above = own.join(scores, entity, "left").groupBy(entity, "held").agg(F.count_if(F.col("s") > F.col("mine")).alias("above"))
-    return above.select(entity, "held", (F.col("above") + 1).alias("rank"))
+    marked = one.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(entity)))
+    held = marked.where("__r = 1 AND __n > 1").select(entity, F.col(item).alias("held"))
+    rest = marked.where("__r > 1 OR __n = 1").select(entity, F.col(item).alias("a"), "__n")
+    affinity = pairs_within(rest, [entity], "a").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    both = affinity.unionByName(affinity.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    scores = rest.where("__n > 1").join(both, "a").groupBy(entity, "b").agg(F.sum("weight").alias("s"))
+    seen = held.join(scores, entity, "left")
+    mine = F.coalesce(F.max(F.when(F.col("b") == F.col("held"), F.col("s"))).over(Window.partitionBy(entity)), F.lit(0))
+    return seen.withColumn("mine", mine).groupBy(entity, "held").agg((F.count_if(F.col("s") > F.col("mine")) + 1).alias("rank"))
 
 
 def rank_quality(ranks: DataFrame) -> DataFrame:

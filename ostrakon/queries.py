@@ -55,19 +55,18 @@ class Tables:
         return o.join(self.customer.select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").cast("long").alias("grp"), "c_acctbal"), "entity")
 
     def edges(self) -> DataFrame:
-        """src, dst, etype, value: a sparse graph."""
-        q = self.lineitem.where("l_quantity = 50 AND l_linenumber = 1")
-        return q.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 150).alias("dst")).agg(F.max("l_returnflag").alias("etype"), F.sum(F.round(F.col("l_discount") * 100)).alias("value"))
+        """src, dst, etype, value: an edge for each supplier and part that share a line."""
+        return self.lineitem.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.max("l_returnflag").alias("etype"), F.sum(F.round(F.col("l_discount") * 100)).alias("value"))
 
     def dag(self) -> DataFrame:
-        return self.edges().where("src < dst AND dst < src + 40").select("src", "dst", "etype")
+        return self.edges().where("src < dst").select("src", "dst", "etype")
 
 
 H = "h AS (SELECT DISTINCT o_custkey AS entity, p_brand AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
 GR = H + ", g AS (SELECT h.entity, item, CAST(c_nationkey AS BIGINT) AS grp FROM h JOIN customer ON c_custkey = entity)"
 O = "o AS (SELECT x.*, CAST(c_nationkey AS BIGINT) AS grp, c_acctbal FROM (SELECT o_custkey AS entity, CAST(date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) + 1 AS BIGINT) AS t, CAST(CASE WHEN min(o_orderkey) % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS e FROM orders GROUP BY o_custkey) x JOIN customer ON c_custkey = entity)"
-E = "e AS (SELECT l_suppkey AS src, l_partkey % 150 AS dst, max(l_returnflag) AS etype, sum(round(l_discount * 100)) AS value FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1 GROUP BY 1, 2), u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst)"
-DAG = E + ", g AS (SELECT src, dst, etype FROM e WHERE src < dst AND dst < src + 40)"
+E = "e AS (SELECT l_suppkey AS src, l_partkey AS dst, max(l_returnflag) AS etype, sum(round(l_discount * 100)) AS value FROM lineitem GROUP BY 1, 2), u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst)"
+DAG = E + ", g AS (SELECT src, dst, etype FROM e WHERE src < dst)"
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -78,6 +77,11 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*(fix.get(c, F.col(c)).alias(c) for c in df.columns))
 
 
+def six(millionths: Column) -> Column:
+    """A group's mean to six places from an exact sum of millionths, so that no order of additions shows."""
+    return F.floor(millionths / F.count(F.lit(1)) + 0.5) / 1_000_000
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     def register(f: Callable[[Tables], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: tidy(f(Tables(spark, sf_dir)))
@@ -284,17 +288,17 @@ def _(t):
     return G.two_paths(t.edges()).where("paths > 0").select(F.col("id").alias("hub"), "paths")
 
 
-@query("j16_shared_neighbours", """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)
+@query("j16_shared_neighbours", """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R')
  SELECT a.s AS a, b.s AS b, CAST(count(*) AS BIGINT) AS n, least(count(*) / 5.0, 1.0)::DOUBLE AS weight FROM e a JOIN e b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2""")
 def _(t):
-    e = t.lineitem.where("l_returnflag = 'R' AND l_quantity > 40").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
+    e = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
     return R.shared_neighbours(e, "s", "p").drop("shared")
 
 
-@query("j16_conflicts", """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p, l_returnflag AS k FROM lineitem WHERE l_quantity > 45)
+@query("j16_conflicts", """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p, l_returnflag AS k FROM lineitem)
  SELECT a.s AS a, b.s AS b, CAST(count(DISTINCT a.p) AS BIGINT) AS n FROM e a JOIN e b ON a.p = b.p AND a.s <> b.s AND a.k = 'R' AND b.k = 'A' GROUP BY 1, 2""")
 def _(t):
-    e = t.lineitem.where("l_quantity > 45").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("k"))
+    e = t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("k"))
     return R.conflicts(e, "s", "p", "k", "R", "A")
 
 
@@ -396,9 +400,9 @@ def _(t):
     return A.clipped_mean(t.outcomes(), ["grp"], "t")
 
 
-@query("a18_specificity", "WITH f AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS k FROM lineitem WHERE l_quantity > 44), n AS (SELECT k, count(*) AS n FROM f GROUP BY 1) SELECT a.s AS a, b.s AS b, CAST(count(*) AS BIGINT) AS shared, round(sum(1.0 / n), 6)::DOUBLE AS specificity FROM f a JOIN f b ON a.k = b.k AND a.s < b.s JOIN n ON n.k = a.k GROUP BY 1, 2")
+@query("a18_specificity", "WITH f AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS k FROM lineitem), n AS (SELECT k, count(*) AS n FROM f GROUP BY 1) SELECT a.s AS a, b.s AS b, CAST(count(*) AS BIGINT) AS shared, round(sum(1.0 / n), 6)::DOUBLE AS specificity FROM f a JOIN f b ON a.k = b.k AND a.s < b.s JOIN n ON n.k = a.k GROUP BY 1, 2")
 def _(t):
-    return A.specificity(t.lineitem.where("l_quantity > 44").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("k")), "k", "s")
+    return A.specificity(t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("k")), "k", "s")
 
 
 @query("a19_hub_bridge", "SELECT p_brand, CAST(count(DISTINCT p_partkey) AS BIGINT) AS n, CAST(count(DISTINCT p_type) AS BIGINT) AS spread, round(log2(count(DISTINCT p_partkey)) * count(DISTINCT p_type), 6) AS hub, round(count(DISTINCT p_type) / greatest(log2(count(DISTINCT p_partkey)), 0.1), 6) AS bridge FROM part GROUP BY 1")
@@ -626,14 +630,19 @@ def _(t):
     e = t.edges().select("src", "dst").where("src <> dst")
     held = e.where("pmod(xxhash64(src, dst), 5) = 0")
     kept = e.join(held, ["src", "dst"], "left_anti")
-    absent = e.select("src", (F.col("dst") * 7 % 150).alias("dst")).distinct().join(e, ["src", "dst"], "left_anti").where("src <> dst")
+    absent = e.select("src", (F.col("dst") + 1).alias("dst")).distinct().join(e, ["src", "dst"], "left_anti").where("src <> dst")
     return G.link_prediction(kept, held, absent)
 
 
-@query("g16_confidence", "SELECT p_partkey, round(0.20 * 0.5 + 0.25 * p_size / 50.0 + 0.15 * 0.1, 6)::DOUBLE AS confidence FROM part")
+@query("g16_confidence", """SELECT p_partkey, floor(1000000 * (0.2 * (p_size % 11) / 10 + 0.15 * p_size / 50 + 0.15 * (p_partkey % 4) / 3 + 0.15 * CASE WHEN p_size % 5 >= 3 THEN 1 ELSE (p_size % 5) / 3.0 END
+ + 0.25 * (p_partkey % 9) / 8 + CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE 0.1 * (p_partkey % 6) / 5 END) + 0.001) / 1000000 AS confidence FROM part""")
 def _(t):
-    df = t.part.select("p_partkey", F.lit(0.5).alias("spectral"), (F.col("p_size") / 50).alias("bootstrap"), F.lit(0.1).alias("triangle"), *(F.lit(None).cast("double").alias(c) for c in ("provenance", "link", "coherence")))
-    return G.composite_confidence(df).select("p_partkey", "confidence")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    df = t.part.select(
+        "p_partkey", ((size % 11) / 10).alias("spectral"), (size / 50).alias("bootstrap"), ((key % 4) / 3).alias("triangle"), G.provenance_share(size % 5).alias("provenance"),
+        ((key % 9) / 8).alias("link"), F.when(key % 6 != 0, (key % 6) / 5).alias("coherence"),
+    )
+    return G.composite_confidence(df).select("p_partkey", (F.floor(1_000_000 * F.col("confidence") + 0.001) / 1_000_000).alias("confidence"))
 
 
 _STEP = "SELECT n.id, 0.15 * coalesce(s.v, 0) + 0.85 * coalesce((SELECT sum(w.w * {0}.v) FROM w JOIN {0} ON {0}.id = w.src WHERE w.dst = n.id), 0) AS v FROM n LEFT JOIN s ON s.id = n.id"
@@ -771,10 +780,11 @@ def _(t):
     return K.unified_affinity(M.jaccard_join(g, "entity", "item", 0.9, ["grp"]), sets, "entity", "grp")
 
 
-@query("k7_smoothing", f"WITH {O}, {E}, p AS (SELECT src AS x, dst AS y, value AS s FROM e WHERE src <> dst UNION ALL SELECT dst, src, value FROM e WHERE src <> dst), n AS (SELECT x, sum(s * c_acctbal) / sum(s) AS near FROM p JOIN o ON o.entity = y WHERE s > 0 GROUP BY 1) SELECT entity, round(CASE WHEN near IS NULL THEN c_acctbal ELSE 0.7 * c_acctbal + 0.3 * near END, 4) AS smoothed FROM o LEFT JOIN n ON n.x = entity")
+@query("k7_smoothing", f"WITH {O}, {E}, p AS (SELECT src AS x, dst AS y, value AS s FROM e WHERE src <> dst UNION ALL SELECT dst, src, value FROM e WHERE src <> dst), n AS (SELECT x, sum(s * round(c_acctbal * 100)) / sum(s) AS near FROM p JOIN o ON o.entity = y WHERE s > 0 GROUP BY 1) SELECT entity, floor(CASE WHEN near IS NULL THEN round(c_acctbal * 100) ELSE 0.7::DOUBLE * round(c_acctbal * 100) + 0.3::DOUBLE * near END * 100 + 0.5) / 10000 AS smoothed FROM o LEFT JOIN n ON n.x = entity")
 def _(t):
     e = t.edges().where("src <> dst AND value > 0").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("value").alias("jaccard"))
-    return M.smooth(t.outcomes().select("entity", "c_acctbal"), "entity", "c_acctbal", e).select("entity", F.round("smoothed", 4).alias("smoothed"))
+    cents = t.outcomes().select("entity", F.round(F.col("c_acctbal") * 100).alias("cents"))
+    return M.smooth(cents, "entity", "cents", e).select("entity", (F.floor(F.col("smoothed") * 100 + 0.5) / 10_000).alias("smoothed"))
 
 
 @query("k8_graph_score", f"""WITH {H}, b AS (SELECT DISTINCT p_brand AS item, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) AS i FROM part), a AS (SELECT x.item AS src, y.item AS dst, x.i / (x.i + 2.0 * y.i) AS w FROM b x JOIN b y ON (x.i + y.i) % 7 = 0 AND x.i <> y.i),
@@ -796,10 +806,10 @@ def _(t):
     return t.edges().select("src", "dst", K.pair_mode(F.when(F.col("value") != 0, F.col("value")), F.col("etype") == "R").alias("mode"))
 
 
-@query("k12_pair_features", f"WITH {MUT} SELECT a.entity, CAST(count(*) AS BIGINT) AS pairs, round(avg(abs(a.value - b.value)), 6)::DOUBLE AS gap FROM m a JOIN m b ON a.entity = b.entity AND a.item < b.item WHERE a.p_size > 45 AND b.p_size > 45 GROUP BY 1")
+@query("k12_pair_features", f"WITH {MUT} SELECT a.entity, CAST(count(*) AS BIGINT) AS pairs, floor(sum(abs(CAST(round(a.value * 1000000) AS BIGINT) - CAST(round(b.value * 1000000) AS BIGINT))) / count(*) + 0.5) / 1000000 AS gap FROM m a JOIN m b ON a.entity = b.entity AND a.item < b.item GROUP BY 1")
 def _(t):
-    m = t.lines().where("p_size > 45").select(F.col("o_custkey").alias("entity"), F.col("p_partkey").alias("item"), F.round(F.col("p_retailprice") / 1000 - 1, 6).alias("value")).distinct()
-    return R.pairs_within(m, ["entity"], "item", ["value"]).groupBy("entity").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.abs(F.col("value_a") - F.col("value_b"))).alias("gap"))
+    m = t.lines().select(F.col("o_custkey").alias("entity"), F.col("p_partkey").alias("item"), F.round(F.col("p_retailprice") / 1000 - 1, 6).alias("value")).distinct()
+    return R.pairs_within(m, ["entity"], "item", ["value"]).groupBy("entity").agg(F.count(F.lit(1)).alias("pairs"), six(F.sum(F.abs(F.round(F.col("value_a") * 1_000_000).cast("long") - F.round(F.col("value_b") * 1_000_000).cast("long")))).alias("gap"))
 
 
 @query("k13_shifts", "WITH x AS (SELECT CAST(s_nationkey AS BIGINT) AS g, p_brand AS i, l_discount AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey), o AS (SELECT i, avg(v) AS m FROM x GROUP BY 1) SELECT g AS grp, x.i AS item, CAST(count(*) AS BIGINT) AS n, round(CASE WHEN count(*) >= 20 THEN avg(v) ELSE max(m) END, 6) AS shift, count(*) < 20 AS fallback FROM x JOIN o ON o.i = x.i GROUP BY 1, 2")
@@ -848,13 +858,11 @@ def _(t):
     return K.hotspots(t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("node"), F.col("p_size").alias("spot"), "l_orderkey"), "node", "spot", "l_orderkey", 8)
 
 
-@query("k20_held_out", f"""WITH {H}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(entity || ':' || item), item) AS r, count(*) OVER (PARTITION BY entity) AS n FROM h), c AS (SELECT a.item AS a, b.item AS b, count(*) AS w FROM h a JOIN h b ON a.entity = b.entity AND a.item <> b.item GROUP BY 1, 2),
+@query("k20_held_out", f"""WITH {H}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(entity || ':' || item), item) AS r, count(*) OVER (PARTITION BY entity) AS n FROM h), k AS (SELECT entity, item FROM r WHERE r > 1 OR n = 1), c AS (SELECT a.item AS a, b.item AS b, count(*) AS w FROM k a JOIN k b ON a.entity = b.entity AND a.item <> b.item GROUP BY 1, 2),
  s AS (SELECT r.entity, c.b, sum(w) AS s FROM r JOIN c ON c.a = r.item WHERE r.r > 1 AND r.n > 1 GROUP BY 1, 2), m AS (SELECT r.entity, r.item AS held, coalesce(s.s, 0) AS mine FROM r LEFT JOIN s ON s.entity = r.entity AND s.b = r.item WHERE r.r = 1 AND r.n > 1)
  SELECT m.entity, held, CAST(count(CASE WHEN s.s > mine THEN 1 END) + 1 AS BIGINT) AS rank FROM m LEFT JOIN s ON s.entity = m.entity GROUP BY 1, 2""")
 def _(t):
-    h = t.holdings()
-    aff = R.pairs_within(h, ["entity"], "item").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
-    return K.held_out_ranks(h, "entity", "item", aff)
+    return K.held_out_ranks(t.holdings(), "entity", "item")
 
 
 # --- statistics and survival (2.10) ---------------------------------------------------------------------
@@ -990,9 +998,9 @@ def _(t):
 # --- similarity and discovery (2.11) ---------------------------------------------------------------------
 
 
-@query("e2_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 100 AND b.vec_id < 100")
+@query("e2_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def _(t):
-    v = t.embeddings.where("vec_id < 100")
+    v = t.embeddings
     p = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "label").where("a < b")
     return p.select("a", "b", F.round(M.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
 
@@ -1014,10 +1022,10 @@ def _(t):
     return M.pearson_edges(_long(t), "r", "c", "v", 0.3, 2.0).drop("p")
 
 
-@query("e5_lin", f"WITH {H}, f AS (SELECT item, -ln(count(DISTINCT entity) * 1.0 / (SELECT count(DISTINCT entity) FROM h)) AS ic FROM h GROUP BY 1), k AS (SELECT entity, item, ic FROM h JOIN f USING (item) WHERE entity < 60), m AS (SELECT entity, max(ic) AS m FROM k GROUP BY 1) SELECT a.entity AS a, b.entity AS b, round(CASE WHEN max(x.m) + max(y.m) > 0 THEN 2 * max(a.ic) / (max(x.m) + max(y.m)) ELSE 0 END, 6)::DOUBLE AS lin FROM k a JOIN k b ON a.item = b.item AND a.entity < b.entity JOIN m x ON x.entity = a.entity JOIN m y ON y.entity = b.entity GROUP BY 1, 2")
+@query("e5_lin", f"WITH {H}, f AS (SELECT item, -ln(count(DISTINCT entity) * 1.0 / (SELECT count(DISTINCT entity) FROM h)) AS ic FROM h GROUP BY 1), k AS (SELECT entity, item, ic FROM h JOIN f USING (item)), m AS (SELECT entity, max(ic) AS m FROM k GROUP BY 1) SELECT a.entity AS a, b.entity AS b, round(CASE WHEN max(x.m) + max(y.m) > 0 THEN 2 * max(a.ic) / (max(x.m) + max(y.m)) ELSE 0 END, 6)::DOUBLE AS lin FROM k a JOIN k b ON a.item = b.item AND a.entity < b.entity JOIN m x ON x.entity = a.entity JOIN m y ON y.entity = b.entity GROUP BY 1, 2")
 def _(t):
     h = t.holdings()
-    return M.lin_similarity(h.where("entity < 60"), "entity", "item", A.information_content(h, "item", "entity"))
+    return M.lin_similarity(h, "entity", "item", A.information_content(h, "item", "entity"))
 
 
 @query("e6_analogous", f"WITH {_LONG}, z AS (SELECT r, c, (v - avg(v) OVER (PARTITION BY c)) / stddev_samp(v) OVER (PARTITION BY c) AS z FROM x), s AS (SELECT r, sqrt(sum(z * z)) AS s FROM z GROUP BY 1) SELECT a.r AS a, b.r AS b, round(sum(a.z * b.z / (x.s * y.s)), 6) AS cosine FROM z a JOIN z b ON a.c = b.c AND a.r < b.r JOIN s x ON x.r = a.r AND x.s >= 1.5 JOIN s y ON y.r = b.r AND y.s >= 1.5 GROUP BY 1, 2 HAVING sum(a.z * b.z / (x.s * y.s)) >= 0.2")
@@ -1038,9 +1046,11 @@ def _(t):
     return M.converges(M.pair_counts(t.lineitem.select(F.col("l_orderkey").alias("e"), F.col("l_suppkey").alias("i")), "e", "i"), 0.6, 5.0, 0.05)
 
 
-@query("e8_enables", "SELECT 'x' AS source, 'x' AS target, 0.0::DOUBLE AS lift, 0.0::DOUBLE AS asymmetry, 0::BIGINT AS \"both\" WHERE false")
+@query("e8_enables", f"WITH {_PAIRS} SELECT a AS source, b AS target, floor(1000000 * (bo * 1.0::DOUBLE * n / (n_a * n_b)) + 0.5) / 1000000 AS lift, 1.0::DOUBLE AS asymmetry, CAST(bo AS BIGINT) AS \"both\" FROM q WHERE bo >= 10 AND bo * n * 100 >= 98 * n_a * n_b")
 def _(t):
-    return M.enables(M.pair_counts(t.holdings(), "entity", "item"), 1.0)
+    # Lift is symmetric, so any asymmetry above 1 leaves no pair; the gate stands at 1.
+    found = M.enables(M.pair_counts(t.holdings(), "entity", "item"), 0.98, 1.0)
+    return found.withColumn("lift", F.floor(1_000_000 * F.col("lift") + 0.5) / 1_000_000)
 
 
 @query("e8_enables_confidence", f"WITH {_PAIRS} SELECT CASE WHEN n_b >= n_a THEN a ELSE b END AS source, CASE WHEN n_b >= n_a THEN b ELSE a END AS target, round(bo * 1.0 * n / (n_a * n_b), 6)::DOUBLE AS lift, round(greatest(n_a, n_b) * 1.0 / least(n_a, n_b), 6)::DOUBLE AS asymmetry, CAST(bo AS BIGINT) AS \"both\" FROM q WHERE bo >= 10 AND bo * 1.0 * n / (n_a * n_b) >= 0.9 AND round(greatest(n_a, n_b) * 1.0 / least(n_a, n_b), 9) >= 1.02")
@@ -1048,9 +1058,13 @@ def _(t):
     return M.enables(M.pair_counts(t.holdings(), "entity", "item"), 0.9, 1.02, 10, "confidence")
 
 
-@query("e9_e10_feature_keys", "WITH f AS (SELECT p_partkey AS o, unnest(['brand:' || p_brand, 'size:' || p_size, 'price:' || CAST(floor(p_retailprice / 20) AS BIGINT)]) AS k FROM part), n AS (SELECT k, count(DISTINCT o) AS n FROM f GROUP BY 1 HAVING count(DISTINCT o) BETWEEN 2 AND 50) SELECT a.o AS a, b.o AS b, CAST(count(*) AS BIGINT) AS shared, round(sum(1.0 / n), 6)::DOUBLE AS specificity FROM f a JOIN f b ON a.k = b.k AND a.o < b.o JOIN n ON n.k = a.k GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("e9_e10_feature_keys", "WITH f AS (SELECT p_partkey AS o, unnest(['brand:' || p_brand || p_type, 'size:' || p_size, 'price:' || CAST(floor(p_retailprice * 10) AS BIGINT) // 40, 'name:' || p_name || (p_size % 4)]) AS k FROM part), n AS (SELECT k, count(DISTINCT o) AS n FROM f GROUP BY 1 HAVING count(DISTINCT o) BETWEEN 2 AND 50) SELECT a.o AS a, b.o AS b, CAST(count(*) AS BIGINT) AS shared, round(sum(1.0 / n), 6)::DOUBLE AS specificity FROM f a JOIN f b ON a.k = b.k AND a.o < b.o JOIN n ON n.k = a.k GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(t):
-    keys = F.array(F.concat(F.lit("brand:"), "p_brand"), F.concat(F.lit("size:"), F.col("p_size").cast("string")), F.concat(F.lit("price:"), F.floor(F.col("p_retailprice") / 20).cast("string")))
+    size = F.col("p_size")
+    keys = F.array(
+        F.concat(F.lit("brand:"), "p_brand", "p_type"), F.concat(F.lit("size:"), size.cast("string")), F.concat(F.lit("price:"), F.floor(F.floor(F.col("p_retailprice") * 10) / 40).cast("string")),
+        F.concat(F.lit("name:"), "p_name", (size % 4).cast("string")),
+    )
     return M.feature_join(t.part.select(F.col("p_partkey").alias("o"), F.explode(keys).alias("k")), "k", "o")
 
 
@@ -1076,10 +1090,14 @@ def _(t):
 # --- documents, scalars, streams (2.12) --------------------------------------------------------------------
 
 
-@query("d1_sections")
+@query("d1_sections", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+ m AS (SELECT doc_id, pos, CASE WHEN regexp_matches(line, '[^ \t\n\x0B\f\r]') THEN pos % 4 END AS kind, regexp_replace(line, '^[ \t\n\x0B\f\r]+', '') AS title FROM l),
+ a AS (SELECT *, max(CASE WHEN kind = 0 THEN pos END) OVER w AS p1, max(CASE WHEN kind = 2 THEN pos END) OVER w AS p2, last_value(CASE WHEN kind = 0 THEN title END IGNORE NULLS) OVER w AS t1, last_value(CASE WHEN kind = 2 THEN title END IGNORE NULLS) OVER w AS t2
+  FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT doc_id, CAST(pos AS BIGINT) AS pos, coalesce(kind IN (0, 2), false) AS is_heading, concat_ws(' > ', t1, CASE WHEN p2 > coalesce(p1, -1) THEN t2 END) AS path FROM a""")
 def _(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    marked = lines.withColumn("line", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("# "), F.substring("line", 1, 20))).when(F.col("pos") % 4 == 2, F.concat(F.lit("## "), F.substring("line", 1, 20))).otherwise(F.col("line")))
+    marked = lines.withColumn("line", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("# "), "line")).when(F.col("pos") % 4 == 2, F.concat(F.lit("## "), "line")).otherwise(F.col("line")))
     return D.sections(marked, "doc_id", "pos", "line").select("doc_id", "pos", "is_heading", F.array_join("section_path", " > ").alias("path"))
 
 
@@ -1114,15 +1132,15 @@ def _(t):
     return D.memberships(t.embeddings, "vec_id", "embedding", "label", c, 0.05).withColumn("score", F.round("score", 5))
 
 
-@query("d9_bridge_pairs")
+@query("d9_bridge_pairs", f"WITH {_CENTRES}, s AS (SELECT vec_id, c.label AS class FROM embeddings e, c WHERE e.label = c.label OR list_inner_product(CAST(embedding AS DOUBLE[]), c) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) >= 0.05) SELECT CAST(a.class AS BIGINT) AS class_a, CAST(b.class AS BIGINT) AS class_b, CAST(count(*) AS BIGINT) AS weight, CAST(count(*) AS BIGINT) AS keys FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.class < b.class GROUP BY 1, 2")
 def _(t):
     c = D.centroids(t.embeddings, "embedding", "label")
     return D.bridge_pairs(D.memberships(t.embeddings, "vec_id", "embedding", "label", c, 0.05), "vec_id").withColumn("keys", F.size("keys"))
 
 
-@query("d10_labels", "WITH w AS (SELECT lang, unnest(string_split_regex(lower(substr(text, 1, 200)), '[^a-z]+')) AS w FROM documents WHERE lang = 'en'), n AS (SELECT lang, w, count(*) AS n FROM w WHERE length(w) > 3 AND w NOT IN ('that', 'this', 'with', 'from', 'were', 'have', 'their', 'which', 'these', 'those', 'into', 'over', 'under', 'than', 'then', 'there', 'where', 'when', 'what') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM n) SELECT lang, string_agg(w, ' ' ORDER BY r) AS words FROM r WHERE r <= 3 GROUP BY lang")
+@query("d10_labels", "WITH w AS (SELECT lang, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS w FROM documents), n AS (SELECT lang, w, count(*) AS n FROM w WHERE length(w) > 3 AND w NOT IN ('that', 'this', 'with', 'from', 'were', 'have', 'their', 'which', 'these', 'those', 'into', 'over', 'under', 'than', 'then', 'there', 'where', 'when', 'what') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM n) SELECT lang, string_agg(w, ' ' ORDER BY r) AS words FROM r WHERE r <= 3 GROUP BY lang")
 def _(t):
-    return D.class_labels(t.documents.where("lang = 'en'").withColumn("title", F.substring("text", 1, 200)), "lang", "title")
+    return D.class_labels(t.documents, "lang", "text")
 
 
 @query("d11_structure")
@@ -1168,11 +1186,15 @@ def _(t):
     return t.part.select("p_partkey", S.protein_position(F.col("p_brand")).alias("pos"))
 
 
-@query("f8_convert", "SELECT p_partkey, round(CASE p_type WHEN 'SMALL' THEN p_size / 60.0 WHEN 'PROMO' THEN p_size * 12.0 END, 6)::DOUBLE AS converted FROM part")
+_UNIT_PAIRS = [("mins", "Hours"), ("ft", "in"), ("miles", "yard"), ("inch", "cm"), ("km", "meters"), ("quarters", "dollar"), ("weeks", "ms"), ("gross", "dozens"), ("years", "month"), ("hour", "inch"), ("score", "couple"), ("parsec", "m")]
+
+
+@query("f8_convert", """SELECT p_partkey, floor(1000000 * CAST(CASE p_partkey % 12 WHEN 0 THEN p_size * 60.0 / 3600 WHEN 1 THEN p_size * 12.0 WHEN 2 THEN p_size * 1760.0 WHEN 4 THEN p_size * 1000.0 WHEN 5 THEN p_size * 0.25
+ WHEN 6 THEN p_size * 604800000.0 WHEN 7 THEN p_size * 12.0 WHEN 8 THEN p_size * 31536000.0 / 2592000 WHEN 10 THEN p_size * 10.0 END AS DOUBLE) + 0.5) / 1000000 AS converted FROM part""")
 def _(t):
-    k = F.col("p_type")
-    df = t.part.select("p_partkey", "p_size", F.when(k == "SMALL", "minutes").when(k == "PROMO", "feet").otherwise("hour").alias("a"), F.when(k == "SMALL", "Hour").otherwise("inches").alias("b"))
-    return S.convert(df, "p_size", "a", "b").select("p_partkey", "converted")
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _UNIT_PAIRS))
+    df = t.part.select("p_partkey", "p_size", F.get(pairs, (F.col("p_partkey") % 12).cast("int")).alias("u")).select("p_partkey", "p_size", "u.a", "u.b")
+    return S.convert(df, "p_size", "a", "b").select("p_partkey", (F.floor(1_000_000 * F.col("converted") + 0.5) / 1_000_000).alias("converted"))
 
 
 @query("f9_verbs", "SELECT event_type, CASE event_type WHEN 'purchase' THEN 'subtract' WHEN 'signup' THEN 'add' WHEN 'click' THEN 'multiply' END AS operation, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
@@ -1192,9 +1214,15 @@ def _(t):
     return S.two_step_templates(t.part.select("p_partkey", F.array(F.col("p_size").cast("double"), F.lit(3.0), F.lit(4.0)).alias("n")), "p_partkey", "n")
 
 
-@query("f16_signature", "SELECT item_id, CASE WHEN length(text) >= 0 THEN 'at least+is a' END AS s FROM benchmark")
+_SIGNS = " || ".join(f"regexp_extract_all(lower(text), '{p}')" for p in (
+    r"\bfor (?:all|every|each)\b", r"\bthere (?:exists?|is|are)\b", r"\bif and only if\b", r"\bat (?:least|most)\b", r"\bis (?:an?|the)\b", r"\b(?:equals?|implies|contains?|preserves?|divides?|converges?)\b",
+))
+
+
+@query("f16_signature", f"SELECT doc_id, array_to_string(list_sort(list_distinct({_SIGNS})), '+') AS s FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' For all x there exists y' WHEN 1 THEN ' It is a set, at most 3' WHEN 2 THEN ' It equals 2 if and only if x divides y' ELSE '' END AS text FROM documents)")
 def _(t):
-    return t.benchmark.select("item_id", S.signature(F.lit("X is a set; at least 2, at least 3"), S.QUANTIFIERS + S.PREDICATES).alias("s"))
+    more = F.when(F.col("doc_id") % 5 == 0, " For all x there exists y").when(F.col("doc_id") % 5 == 1, " It is a set, at most 3").when(F.col("doc_id") % 5 == 2, " It equals 2 if and only if x divides y").otherwise("")
+    return t.documents.select("doc_id", S.signature(F.concat("text", more), S.QUANTIFIERS + S.PREDICATES).alias("s"))
 
 
 @query("f17_claims", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'confirmed' WHEN s_suppkey % 3 = 1 THEN 'novel' ELSE 'no_data' END AS status FROM supplier")
@@ -1214,9 +1242,9 @@ def _(t):
     return rule(e.where("src = dst"), "self_loop").unionByName(rule(e.where("value < 0 OR value > 20"), "value_range")).unionByName(rule(e.join(known, "src", "left_anti"), "unknown_source"))
 
 
-@query("c24_by_unit", "SELECT CAST(l_orderkey AS BIGINT) AS p, l_returnflag AS unit, round(sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END), 6) AS hub, round(coalesce(product(CASE WHEN l_linenumber <> 1 THEN l_linenumber END), 1), 6)::DOUBLE AS scale FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2")
+@query("c24_by_unit", "SELECT CAST(l_orderkey AS BIGINT) AS p, l_returnflag AS unit, round(sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END), 6) AS hub, round(coalesce(product(CASE WHEN l_linenumber <> 1 THEN l_linenumber END), 1), 6)::DOUBLE AS scale FROM lineitem GROUP BY 1, 2")
 def _(t):
-    df = t.lineitem.where("l_orderkey < 500").select(F.col("l_orderkey").alias("p"), F.col("l_returnflag").alias("unit"), F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(F.col("l_linenumber").cast("double")).alias("v"), F.when(F.col("l_linenumber") == 1, "hub").otherwise("scale").alias("role"))
+    df = t.lineitem.select(F.col("l_orderkey").alias("p"), F.col("l_returnflag").alias("unit"), F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(F.col("l_linenumber").cast("double")).alias("v"), F.when(F.col("l_linenumber") == 1, "hub").otherwise("scale").alias("role"))
     return S.by_unit(df, "p", "unit", "v", "role")
 
 
@@ -1235,7 +1263,7 @@ def _(t):
     return streams.daily_segments(t.events, "ts", "1 day", "event_type")
 
 
-@query("sk5_merge", f"WITH {E} SELECT src, dst, etype, CASE WHEN src % 2 = 0 THEN (value * 2 + 9) / 3 ELSE value END AS value, CAST(CASE WHEN src % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n_sources FROM e UNION ALL SELECT -1, -1, 'NEW', 9.0, 1")
+@query("sk5_merge", f"WITH {E} SELECT src, dst, etype, CASE WHEN src % 2 = 0 THEN round((value * 2 + 9) / 3, 6) ELSE value END AS value, CAST(CASE WHEN src % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n_sources FROM e UNION ALL SELECT -1, -1, 'NEW', 9.0, 1")
 def _(t):
     now = F.lit("2024-01-01").cast("timestamp")
     current = t.edges().select("src", "dst", "etype", "value", F.lit(2).alias("n_sources"), F.lit("load").alias("source"), now.alias("created_at"), now.alias("updated_at"), F.lit(False).alias("deprecated"))
@@ -1254,11 +1282,11 @@ def _(t):
 
 
 @query("c1_scripting", f"""WITH {MUT}, f AS (SELECT entity, min(item) AS i FROM m GROUP BY 1), k AS (SELECT f.entity, m.grp AS script FROM f JOIN m ON m.entity = f.entity AND m.item = f.i)
- SELECT m.entity, CAST(count(CASE WHEN exp(value) > 1.1 THEN 1 END) AS BIGINT) AS harmful, CAST(count(CASE WHEN exp(value) < 0.9 THEN 1 END) AS BIGINT) AS protective, round(avg(value), 6) AS mean_log_hr, round(avg(CASE WHEN grp = script THEN 1.0 ELSE 0 END), 6)::DOUBLE AS on_script FROM m JOIN k ON k.entity = m.entity GROUP BY 1""")
+ SELECT m.entity, CAST(count(CASE WHEN exp(value) > 1.1 THEN 1 END) AS BIGINT) AS harmful, CAST(count(CASE WHEN exp(value) < 0.9 THEN 1 END) AS BIGINT) AS protective, floor(sum(CAST(round(value * 1000000) AS BIGINT)) / count(*) + 0.5) / 1000000 AS mean_log_hr, floor(count(CASE WHEN grp = script THEN 1 END) * 1000000 / count(*) + 0.5) / 1000000 AS on_script FROM m JOIN k ON k.entity = m.entity GROUP BY 1""")
 def _(t):
     m = _mutations(t)
     script = m.groupBy("entity").agg(F.min_by("grp", "item").alias("script"))
-    return m.join(script, "entity").groupBy("entity").agg(F.count_if(F.exp("value") > 1.1).alias("harmful"), F.count_if(F.exp("value") < 0.9).alias("protective"), F.avg("value").alias("mean_log_hr"), F.avg((F.col("grp") == F.col("script")).cast("int")).alias("on_script"))
+    return m.join(script, "entity").groupBy("entity").agg(F.count_if(F.exp("value") > 1.1).alias("harmful"), F.count_if(F.exp("value") < 0.9).alias("protective"), six(F.sum(F.round(F.col("value") * 1_000_000).cast("long"))).alias("mean_log_hr"), six(F.count_if(F.col("grp") == F.col("script")) * 1_000_000).alias("on_script"))
 
 
 @query("c5_clinical", "SELECT o_custkey, CAST(min(CASE WHEN o_orderstatus = 'F' THEN epoch(o_orderdate) END) // 86400 AS BIGINT) AS first_f, CAST(coalesce(min(CASE WHEN o_orderstatus = 'F' THEN epoch(o_orderdate) END), max(epoch(o_orderdate))) // 86400 AS BIGINT) AS time FROM orders GROUP BY 1")
@@ -1268,9 +1296,9 @@ def _(t):
     return t.orders.groupBy("o_custkey").agg(first.alias("first_f"), F.coalesce(first, F.max(day)).alias("time"))
 
 
-@query("c7_cross_vs_same", f"WITH {MUT}, {O}, k AS (SELECT entity, count(DISTINCT grp) AS channels FROM m WHERE p_size > 45 GROUP BY 1) SELECT CAST(channels AS BIGINT) AS channels, CAST(count(*) AS BIGINT) AS n, round(avg(e), 6) AS rate FROM k JOIN o USING (entity) GROUP BY 1")
+@query("c7_cross_vs_same", f"WITH {MUT}, {O}, k AS (SELECT entity, count(DISTINCT grp) AS channels FROM m GROUP BY 1) SELECT CAST(channels AS BIGINT) AS channels, CAST(count(*) AS BIGINT) AS n, round(avg(e), 6) AS rate FROM k JOIN o USING (entity) GROUP BY 1")
 def _(t):
-    k = t.lines().where("p_size > 45").groupBy(F.col("o_custkey").alias("entity")).agg(F.countDistinct("p_type").alias("channels"))
+    k = t.lines().groupBy(F.col("o_custkey").alias("entity")).agg(F.countDistinct("p_type").alias("channels"))
     return k.join(t.outcomes(), "entity").groupBy("channels").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("rate"))
 
 
@@ -1312,17 +1340,17 @@ from .functions import language as L  # noqa: E402
 from .plans import cohort as C  # noqa: E402
 
 
-@query("f12_expression", "SELECT p_partkey, CAST(p_size + 3 * 4 - 2 AS DOUBLE) AS v, (p_size - 1) / 2.0::DOUBLE AS w FROM part WHERE p_partkey < 300")
+@query("f12_expression", "SELECT p_partkey, CAST(p_size + 3 * 4 - 2 AS DOUBLE) AS v, (p_size - 1) / 2.0::DOUBLE AS w FROM part")
 def _(t):
     n = F.col("p_size").cast("string")
-    return t.part.where("p_partkey < 300").select("p_partkey", L.expression_value(F.concat(n, F.lit(" plus three times 4 - 2"))).alias("v"), L.expression_value(F.concat(F.lit("("), n, F.lit(" minus one) over 2"))).alias("w"))
+    return t.part.select("p_partkey", L.expression_value(F.concat(n, F.lit(" plus three times 4 - 2"))).alias("v"), L.expression_value(F.concat(F.lit("("), n, F.lit(" minus one) over 2"))).alias("w"))
 
 
-@query("f13_solve", "SELECT p_partkey, (p_size + 4) / 2.0::DOUBLE AS x, p_size - (p_size + 4) / 2.0::DOUBLE AS y FROM part WHERE p_partkey < 200")
+@query("f13_solve", "SELECT p_partkey, (p_size + 4) / 2.0::DOUBLE AS x, p_size - (p_size + 4) / 2.0::DOUBLE AS y FROM part")
 def _(t):
     n = F.col("p_size").cast("string")
     s = L.solve(F.array(F.concat(F.lit("x + y = "), n), F.lit("x - y = 4")))
-    return t.part.where("p_partkey < 200").select("p_partkey", s["x"].alias("x"), s["y"].alias("y"))
+    return t.part.select("p_partkey", s["x"].alias("x"), s["y"].alias("y"))
 
 
 @query("f14_roles", "SELECT s_suppkey, CAST(s_suppkey % 7 + 1 AS DOUBLE) AS value, 'apple' AS unit, 'scale' AS role FROM supplier UNION ALL SELECT s_suppkey, 20.0, 'box', 'hub' FROM supplier")
@@ -1343,16 +1371,16 @@ def _(t):
 
 
 def _channels(t: Tables) -> DataFrame:
-    return t.lines().where("p_size > 45").select(F.col("o_custkey").alias("entity"), F.col("p_partkey").alias("item"), F.col("p_type").alias("channel")).distinct()
+    return t.lines().select(F.col("o_custkey").alias("entity"), F.col("p_partkey").alias("item"), F.col("p_type").alias("channel")).distinct()
 
 
-@query("c2_status_matrix", """WITH a AS (SELECT o_custkey AS entity, max((p_type = 'PROMO')::INT) AS p, max((p_type = 'SMALL')::INT) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size > 45 GROUP BY 1), b AS (SELECT o_custkey AS entity, max((o_orderstatus = 'F')::INT) AS f FROM orders GROUP BY 1)
+@query("c2_status_matrix", """WITH a AS (SELECT o_custkey AS entity, max((p_type = 'PROMO')::INT) AS p, max((p_type = 'SMALL')::INT) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1), b AS (SELECT o_custkey AS entity, max((o_orderstatus = 'F')::INT) AS f FROM orders GROUP BY 1)
  SELECT a.entity, CAST(p AS BIGINT) AS "hit_PROMO", CAST(s AS BIGINT) AS "hit_SMALL", CAST(coalesce(f, 0) AS BIGINT) AS "site_F" FROM a LEFT JOIN b ON a.entity = b.entity""")
 def _(t):
     return C.status_matrix(_channels(t), "entity", "channel", ["PROMO", "SMALL"], t.orders.select(F.col("o_custkey").alias("entity"), "o_orderstatus"), "o_orderstatus", ["F"])
 
 
-_CH = "ch AS (SELECT DISTINCT o_custkey AS entity, p_partkey AS item, p_type AS channel FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size > 45)"
+_CH = "ch AS (SELECT DISTINCT o_custkey AS entity, p_partkey AS item, p_type AS channel FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
 
 
 @query("c3_treatment_match", f"""WITH {_CH}, {O}, tr AS (SELECT DISTINCT o_custkey AS entity, o_orderstatus AS arm FROM orders), tg AS (SELECT * FROM (VALUES ('F', 'PROMO'), ('O', 'SMALL')) v(arm, channel)), hit AS (SELECT DISTINCT tr.entity, tr.arm FROM tr JOIN tg ON tg.arm = tr.arm JOIN ch ON ch.entity = tr.entity AND ch.channel = tg.channel)

@@ -1,12 +1,12 @@
 """Every registered query beside its SQL, on the smallest tables."""
 
-import math
-
 import duckdb
 import pytest
 
 from ostrakon.queries import ORACLE, QUERIES
 
+#: Queries that find nothing on the smallest tables.
+EMPTY = {"e7_converges", "v6_interactions"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -23,12 +23,6 @@ def key(row):
     return tuple((v is None, str(type(v).__name__ if not isinstance(v, (int, float)) else "n"), v if v is not None else 0) for v in row)
 
 
-def same(a, b):
-    if isinstance(a, float) or isinstance(b, float):
-        return a is not None and b is not None and math.isclose(a, b, rel_tol=1e-7, abs_tol=2e-6)
-    return a == b
-
-
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, sf, con, name):
     df = QUERIES[name](spark, sf)
@@ -39,12 +33,12 @@ def test_query_equals_its_sql(spark, sf, con, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     want = sorted((tuple(r[i] for i in at) for r in cursor.fetchall()), key=key)
-    assert len(got) == len(want)
+    assert len(got) == len(want) and (got or name in EMPTY)
     for g, w in zip(got, want):
-        assert all(same(x, y) for x, y in zip(g, w)), (g, w)
+        assert g == w
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(spark, sf, name):
     df = QUERIES[name](spark, sf)
-    assert len(df.columns) > 0 and df.count() >= 0
+    assert len(df.columns) > 0 and (df.count() > 0 or name in EMPTY)
