@@ -6,14 +6,15 @@ texts a backslash becomes ``\\b``, ``<`` becomes ``\\l`` and ``>`` becomes
 exact.
 
 Prefix sums of turn tokens choose the spans.  The room of a window is its
-budget less the system turn and the allowance for history.  A turn that lies
-within one multiple of the room joins the span of that multiple; one that
-crosses into the next is a span of its own.  So spans are turn-aligned, depend
-on prefix sums alone, and exceed the room only where a single turn does.  Each
-window holds the system turn, at most ``history_turns`` earlier turns of at
-most ``history_tokens`` tokens, and its span.  The loss mask covers the
-assistant texts of the span; repeated turns are masked, so each target counts
-once.
+budget less the system turn and the allowance for history.  A span takes turns
+as long as its prefix sums stay within the room, and always one; counting
+starts anew with every ``BLOCK`` turns, so the work of a turn is bounded
+however long its conversation.  So spans are turn-aligned, and exceed the room
+only where a single turn does.  Each window holds the system turn, its span,
+and at most ``history_turns`` earlier turns of at most ``history_tokens``
+tokens, fewer where the span leaves less; so no window exceeds the budget
+unless the system turn and one turn do.  The loss mask covers the assistant
+texts of the span; repeated turns are masked, so each target counts once.
 
 Defined cases: null roles and texts count as empty; turns are ordered by turn,
 role, text (null turns first), so ties and repeated rows keep a place each; a
@@ -27,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS, TURN_OVERHEAD = 512, 2, 128, 4
+#: Turns after which spans start anew.
+BLOCK = 64
 #: A token: a run of ASCII letters, digits and underscores, or any other character that is not white space.
 TOKEN = r"[0-9A-Za-z_]+|[^0-9A-Za-z_\x09-\x0D\x20]"
 OPEN, CLOSE, END = "<turn ", ">", "</turn>\n"
@@ -55,14 +58,21 @@ def spans(conversations: DataFrame, budget: int = BUDGET, history_turns: int = H
     rows = rows.withColumn("end", F.sum(F.when(F.col("system"), 0).otherwise(F.col("tokens"))).over(so_far))
     rows = rows.withColumn("start", F.when(F.col("system"), F.col("end")).otherwise(F.col("end") - F.col("tokens")))
     room = F.greatest(F.lit(1), F.lit(budget - history_tokens) - F.col("kept"))
-    first, last = F.floor(F.col("start") / room), F.floor((F.col("end") - 1) / room)
-    rows = rows.withColumn("span", F.when(F.col("system"), F.lit(0)).otherwise(first * 2 + (first != last).cast("int")))
-    # The system turn stands with whatever span is first.
-    before = F.lag("span").over(along)
-    rows = rows.withColumn("fresh", F.coalesce((before != F.col("span")) & ~F.lag("system").over(along), F.col("i") == 0))
+    rows = rows.withColumn("room", room).withColumn("block", F.floor(F.col("i") / BLOCK))
+    sums = F.collect_list(F.struct("start", "end", "room")).over(Window.partitionBy("conv_id", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+
+    def step(state: Column, turn: Column) -> Column:
+        # The system turn, which adds nothing to the sums, stands with whatever span is first.
+        over = (turn["end"] - state["start"] > turn["room"]) & (turn["start"] > state["start"])
+        return F.struct(F.when(over, turn["start"]).otherwise(state["start"]).alias("start"), (state["span"] + over.cast("int")).alias("span"))
+
+    rows = rows.withColumn("sums", sums).withColumn("span", F.aggregate("sums", F.struct(F.get("sums", F.lit(0))["start"].alias("start"), F.lit(0).alias("span")), step)["span"]).drop("sums")
+    rows = rows.withColumn("fresh", F.coalesce((F.lag("span").over(along) != F.col("span")) | (F.lag("block").over(along) != F.col("block")), F.lit(True)))
     rows = rows.withColumn("window", F.sum(F.col("fresh").cast("int")).over(so_far))
+    own = F.sum(F.when(F.col("system"), 0).otherwise(F.col("tokens"))).over(Window.partitionBy("conv_id", "window"))
+    rows = rows.withColumn("left", F.least(F.lit(history_tokens), budget - F.col("kept") - own))
     repeats = [
-        F.when(~F.col("system") & F.lead("fresh", k).over(along) & (F.lead("start", k).over(along) - F.col("start") <= history_tokens), F.lead("window", k).over(along))
+        F.when(~F.col("system") & F.lead("fresh", k).over(along) & (F.lead("start", k).over(along) - F.col("start") <= F.lead("left", k).over(along)), F.lead("window", k).over(along))
         for k in range(1, history_turns + 1)
     ]
     rows = rows.withColumn("later", F.array_compact(F.array(*repeats)) if repeats else F.array().cast("array<bigint>"))
@@ -128,7 +138,7 @@ def with_trap(spark: SparkSession, conversations: DataFrame) -> DataFrame:
 _ESC = "replace(replace(replace({0}, chr(92), chr(92) || 'b'), '<', chr(92) || 'l'), '>', chr(92) || 'g')"
 #: The rows of ``digests`` over ``with_trap`` in SQL.
 ORACLE_SQL = f"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'
@@ -141,13 +151,20 @@ WITH t AS (
     sum(CASE WHEN i = 0 AND role = 'system' THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY i) AS e FROM a
 ), c AS (
   SELECT *, CASE WHEN sys THEN e ELSE e - tokens END AS s, greatest(1, {BUDGET - HISTORY_TOKENS} - kept) AS room FROM b
-), d AS (
-  SELECT *, CASE WHEN sys THEN 0 ELSE 2 * (s // room) + CASE WHEN s // room <> (e - 1) // room THEN 1 ELSE 0 END END AS span FROM c
+), y(conv_id, i, s, e, room, origin, fresh) AS (
+  SELECT conv_id, i, s, e, room, s, true FROM c WHERE i % {BLOCK} = 0
+  UNION ALL
+  SELECT c.conv_id, c.i, c.s, c.e, c.room, CASE WHEN c.e - y.origin > c.room AND c.s > y.origin THEN c.s ELSE y.origin END, c.e - y.origin > c.room AND c.s > y.origin
+  FROM y JOIN c ON c.conv_id IS NOT DISTINCT FROM y.conv_id AND c.i = y.i + 1 AND c.i % {BLOCK} <> 0
 ), f AS (
-  SELECT *, coalesce(lag(span) OVER w <> span AND NOT lag(sys) OVER w, i = 0) AS fresh FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+  SELECT c.*, y.fresh FROM c JOIN y ON y.conv_id IS NOT DISTINCT FROM c.conv_id AND y.i = c.i
+), v AS (
+  SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS win FROM f
+), q AS (
+  SELECT *, least({HISTORY_TOKENS}, {BUDGET} - kept - sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, win)) AS room_left FROM v
 ), g AS (
-  SELECT *, lead(fresh, 1) OVER w AND lead(s, 1) OVER w - s <= {HISTORY_TOKENS} AS r1, lead(fresh, 2) OVER w AND lead(s, 2) OVER w - s <= {HISTORY_TOKENS} AS r2,
-    sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS windows FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+  SELECT *, lead(fresh, 1) OVER w AND lead(s, 1) OVER w - s <= lead(room_left, 1) OVER w AS r1, lead(fresh, 2) OVER w AND lead(s, 2) OVER w - s <= lead(room_left, 2) OVER w AS r2,
+    max(win) OVER (PARTITION BY conv_id) AS windows FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY i)
 ), h AS (
   SELECT *, CASE WHEN sys THEN windows ELSE 1 + CASE WHEN r1 THEN 1 ELSE 0 END + CASE WHEN r2 THEN 1 ELSE 0 END END AS times,
     length({_ESC.format("role")}) + length({_ESC.format("text")}) + {len(OPEN) + len(CLOSE) + len(END)} AS chars FROM g

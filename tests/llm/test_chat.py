@@ -39,7 +39,7 @@ def test_windows(spark):
     for w in windows:
         turns = w.text.split("</turn>\n")[:-1]
         assert turns[0].startswith("<turn system>") and all(t.startswith("<turn ") and "<" not in t[1:] for t in turns)
-        assert w.tokens <= chat.BUDGET or len(turns) - w.n_repeated == 1
+        assert w.tokens <= chat.BUDGET or len(turns) - w.n_repeated == 1 and w.n_repeated == 1
         assert w.n_repeated <= 1 + chat.HISTORY_TURNS
         seen += len(turns) - w.n_repeated
         for s in w.loss:
@@ -63,3 +63,24 @@ def test_native_plan_and_empty_table(spark, sf):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert chat.digests(chat.format_windows(table(spark, sf, "conversations").limit(0))).count() == 0
+
+
+def test_windows_are_full_and_keep_the_budget(spark):
+    conversations = table(spark, "/root/testdata/sf0.1", "conversations")
+    many = spark.range(200).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'system', 'user') AS role", "repeat('w ', 1 + id % 90) AS text")
+    conversations = conversations.select("conv_id", "turn", "role", "text").unionByName(many)
+    for r in chat.format_windows(conversations).collect():
+        fresh = r.text.split("</turn>\n")[:-1][r.n_repeated :]
+        assert r.tokens <= chat.BUDGET or len([t for t in fresh if not t.startswith("<turn system>")]) == 1 and r.n_repeated <= 1
+    turns = defaultdict(list)
+    for r in chat.spans(conversations).collect():
+        turns[r.conv_id].append(r)
+    for rows in turns.values():
+        rows.sort(key=lambda r: r.i)
+        kept = rows[0].tokens if rows[0].role == "system" else 0
+        own = defaultdict(int)
+        for r in rows[bool(kept) :]:
+            own[r.window] += r.tokens
+        for a, b in zip(rows[bool(kept) :], rows[bool(kept) + 1 :]):
+            # A turn opens a window only where the one before has no room for it.
+            assert a.window == b.window or b.i % chat.BLOCK == 0 or own[a.window] + b.tokens > max(1, chat.BUDGET - chat.HISTORY_TOKENS - kept)
