@@ -52,3 +52,25 @@ def test_defined_cases(spark):
     assert docs.count() == t.classify(docs, labels).count()
     assert t.classify(docs, labels.limit(0)).agg({"score": "max"}).collect()[0][0] < 1e-9
     assert t.classify(docs.limit(0), labels).count() == 0
+
+
+def test_labels_of_fold_0_change_nothing(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held = "crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0"
+    flipped = labels.selectExpr("doc_id", f"if({held}, 1 - toxic, toxic) AS toxic")
+    score = lambda y: {r.doc_id: r.score for r in t.classify(docs, y).collect()}
+    assert score(labels) == score(flipped)
+    ids, y, rows = t.sample(docs, labels)
+    assert ids and all(zlib.crc32(str(i).encode()) % 5 for i in ids)
+    best = t.choose(ids, y, rows, [{"l1": 1e6}, t.SETTINGS])
+    assert len(best) == 2 and best[0][:2] <= best[1][:2]
+
+
+def test_the_sample_is_bounded_in_bytes_and_ids_count_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")] * 50 + [(2, "g h"), (3, "i j"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, toxic int")
+    ids, y, rows = t.sample(docs, labels, held_out=False)
+    assert sorted(ids) == [1, 2, 3, 4] and len(y) == len(rows) == 4
+    few, _, some = t.sample(docs, labels, held_out=False, most_bytes=40)
+    assert set(few) < set(ids) and sum(4 * len(r) for r in some) <= 40
