@@ -23,6 +23,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -36,6 +37,29 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 _BUILT: dict[str, ForcedBoundaryBPE] = {}
 
 
+# Letters and numbers that the library knows and Unicode 15.1 does not, as first and last code points.
+LATER = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D49), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3),
+    (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF),
+    (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0), (0x1E5F1, 0x1E5FA),
+]
+# Capitals that the library lowers and Unicode 15.1 does not know: first, last, lower case of the first.
+LATER_CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+LOWERED = {a + k: low + k for a, b, low in LATER_CAPITALS for k in range(b - a + 1)}
+CAPITALS = re.compile(f"[{''.join(map(chr, LOWERED))}]")
+
+
+@cache
+def unassigned() -> str:
+    """As ranges of a character class: what ``regex`` counts among letters and numbers and the library, whose Unicode version is older, does not."""
+    known = {i for a, b in LATER for i in range(a, b + 1)}
+    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)) if unicodedata.category(c) == "Cn" and ord(c) not in known]
+    starts = [i for i, p in zip(found, [-2, *found]) if i != p + 1]
+    ends = [i for i, p in zip(found, [*found[1:], -2]) if p != i + 1]
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(starts, ends))
+
+
 def _byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -82,6 +106,9 @@ class ForcedBoundaryBPE:
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words_re = regex.compile(split.replace(r"[^\s", f"[^{_SPACE}"))
+        #: The same for runs that hold such characters, which count as marks.
+        self.rare_re = regex.compile(f"[{unassigned() or '^\x00-\U0010ffff'}]")
+        self.rare_words_re = regex.compile(split.replace(r"[^\s", f"[^{_SPACE}").replace(r"\p{L}", rf"[\p{{L}}--[{unassigned()}]]").replace(r"\p{N}", rf"[\p{{N}}--[{unassigned()}]]"), regex.V1) if unassigned() else self.words_re
         self.space_re = regex.compile(f"[{_SPACE}]+")
         back = {c: b for b, c in enumerate(self.alphabet)}
         inside = set()
@@ -165,7 +192,8 @@ class ForcedBoundaryBPE:
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """What lies between two spaces: its words, encoded one by one."""
-        ids = [i for word in self.words_re.findall(chunk) for i in self.encode_word(word)]
+        words = self.words_re if chunk.isascii() or not self.rare_re.search(chunk) else self.rare_words_re
+        ids = [i for word in words.findall(chunk) for i in self.encode_word(word)]
         return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.tokens.__getitem__, ids))
 
     def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -185,6 +213,8 @@ class ForcedBoundaryBPE:
             elif part:
                 # Case is mapped character by character, so a capital sigma never becomes a final one.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                if not part.isascii() and CAPITALS.search(part):
+                    part = part.translate(LOWERED)
                 # str.split also splits at four separators that the vocabulary's white space lacks.
                 found = part.split() if part.isprintable() or not SEPARATORS.search(part) else [c for c in self.space_re.split(part) if c]
                 out += map(chunks.__getitem__, found)

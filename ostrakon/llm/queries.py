@@ -12,12 +12,15 @@ from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Folder of public vocabulary files; a parameter, as the files are never part of the library.
-TOKENIZERS = os.environ.get("OSTRAKON_TOKENIZERS", "/opt/tokenizers")
-
 
 def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """The place of a public vocabulary file: in the folder ``OSTRAKON_TOKENIZERS`` if that is set, else as ``public_tokenizers`` says; the files are never part of the library."""
+    folder = os.environ.get("OSTRAKON_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

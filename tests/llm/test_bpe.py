@@ -39,3 +39,13 @@ def test_fragments_join_to_the_uncut_word():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
     assert bpe.digest_documents(empty, VOCAB).count() == 0
+
+
+def test_every_code_point_equals_the_library(library):
+    """Between letters, after a space and beside a number and a mark."""
+    coder = bpe.ForcedBoundaryBPE(open(VOCAB).read())
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for start in range(0, len(points), 50_000):
+        part = [f"a{c}b {c}1!{c}" for c in points[start : start + 50_000]]
+        for text, want in zip(part, library.encode_batch(part, add_special_tokens=False)):
+            assert coder.encode(text) == np.array(want.ids, "<u4").tobytes(), hex(ord(text[1]))
