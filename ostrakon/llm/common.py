@@ -29,11 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; one for tests where it names none."""
+    """The folder that all executors share, as the cluster names it; a local session may name none and takes one for tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "/tmp/checkpoints"
+        folder = current.get() if current.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "/tmp/checkpoints"
     return folder.rstrip("/")
 
 

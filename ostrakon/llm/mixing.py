@@ -59,12 +59,23 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, mos
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Exact below 10**9; beyond that the rounded normal limit, held within its range."""
+    """A draw at any size; from 10**9 on, where numpy's sampler ends, by the sums of the probabilities around the mode.
+
+    These follow from ratios of neighbours, so they carry the rounding of
+    doubles only; what lies beyond 16 deviations has less than 1e-50 in all.
+    """
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, draws)) if good + bad and draws else 0
-    p, n = good / (good + bad), good + bad
-    sd = (draws * p * (1 - p) * (n - draws) / max(1, n - 1)) ** 0.5
-    return int(np.clip(round(rng.normal(draws * p, sd)), max(0, draws - bad), min(good, draws)))
+    low, high = max(0, draws - bad), min(good, draws)
+    n = good + bad
+    mode = min(max((draws + 1) * (good + 1) // (n + 2), low), high)
+    reach = int(16 * (draws * (good / n) * (bad / n) * ((n - draws) / max(1, n - 1))) ** 0.5) + 64
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def split_tree(quotas: Sequence[int], shards: int, seed: int = 0) -> np.ndarray:

@@ -18,3 +18,24 @@ def test_shards_meet_their_quotas_beside_documents_without_words(spark):
     assert any(last for _, _, last in stats.values())
     quotas = m.split_tree([n * passes + last for n, passes, last in (stats[s] for s in "ab")], 40)
     assert np.array_equal([[got[s, k] for k in range(40)] for s in "ab"], quotas) and sum(got.values()) == quotas.sum()
+
+
+def test_large_draws_follow_the_hypergeometric_law():
+    rng = np.random.default_rng(3)
+    # A population that both ways can draw from: the sums stand beside numpy's sampler.
+    good, bad, draws = 600_000_000, 399_999_999, 2_000
+    small = np.array([m.hypergeometric(rng, good, bad, draws) for _ in range(3000)])
+    large = np.array([m.hypergeometric(rng, good, bad + 1, draws) for _ in range(3000)])
+    assert abs(small.mean() - large.mean()) < 2.5 and abs(small.std() / large.std() - 1) < 0.08
+    n, g, d = 30_000_000_000, 18_750_000_000, 15_000_000_000
+    sd = (d * (g / n) * (1 - g / n) * (n - d) / (n - 1)) ** 0.5
+    z = np.array([(m.hypergeometric(rng, g, n - g, d) - d * g / n) / sd for _ in range(40)])
+    assert abs(z.mean()) < 0.7 and 0.5 < z.std() < 1.6
+    assert m.hypergeometric(rng, 10**9, 0, 10**8) == 10**8 and m.hypergeometric(rng, 0, 10**9, 5) == 0
+    assert m.hypergeometric(rng, 10**9, 10**9, 2 * 10**9) == 10**9
+
+
+def test_the_tree_meets_its_quotas_at_any_size():
+    quotas = [3 * 10**10, 7, 0, 10**10 + 1]
+    tree = m.split_tree(quotas, 8, 1)
+    assert (tree.sum(1) == quotas).all() and (tree >= 0).all() and tree.sum(0).max() - tree.sum(0).min() <= 1
