@@ -21,7 +21,10 @@ def session(name: str = "ostrakon", **config: str) -> SparkSession:
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again, so iterations have short plans and lost executors cost a reread."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = (folder or "/tmp/checkpoints").rstrip("/")
     path = f"{folder}/{spark.sparkContext.applicationId}/{name}-{next(_serial)}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
