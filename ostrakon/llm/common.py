@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +77,14 @@ def release() -> None:
         pass
 
 
+def free_name(columns: Sequence[str], name: str) -> str:
+    """``name``, with underscores added until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """The strings of a column; null counts as the empty text."""
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import WORD, frugal, materialise, word_count
+from .common import WORD, free_name, frugal, materialise, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -195,36 +196,62 @@ def cut_text(text: str, parts: list[tuple[int, int]], block_words: int) -> str:
     return "".join(out)
 
 
-def mixed_documents(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
-    """The mix as documents, with the columns of ``docs``: a row for each pass over a document, with the text of the blocks drawn.
+def drawn_texts(docs: DataFrame, plan: DataFrame, drawn: DataFrame, by: Sequence[str], block_words: int) -> DataFrame:
+    """The rows of ``docs`` with the text of the blocks drawn: one for each pass and value of ``by``.
 
-    Full passes give the text unchanged.  ``n_chars`` follows the text.  Copies
-    of a row take each the draws of one copy.
+    With ``by``, its columns and the least ``order`` of the blocks follow the columns of ``docs``.
     """
-    plan = plan_of(docs, block_words=block_words, **options)
-    per_pass = draws(plan).groupBy("doc_id", "source", "size", "copy", "pass").agg(F.collect_list(F.struct("block", "n_words")).alias("parts"), F.sum("n_words").alias("n"))
-    keyed = docs.select("*", word_count(F.col("text")).alias("__size"))
+    columns, more = docs.columns, [*by, "order"] if by else []
+    d, s, z, c, parts, size, copy, b, w = (free_name(columns, f"__{n}") for n in ("d", "s", "z", "c", "parts", "size", "copy", "b", "w"))
+    first = [F.min("order").alias("order")] if by else []
+    per_pass = drawn.groupBy("doc_id", "source", "size", "copy", "pass", *by).agg(F.collect_list(F.struct("block", "n_words")).alias("parts"), F.sum("n_words").alias("n"), *first)
+    keyed = docs.select("*", word_count(F.col("text")).alias(size))
     if plan.where("copy > 1").isEmpty():
-        keyed = keyed.withColumn("__copy", F.lit(1).cast("long"))
+        keyed = keyed.withColumn(copy, F.lit(1).cast("long"))
     else:
-        copies = Window.partitionBy("doc_id", "source", "__size").orderBy("text")
-        keyed = keyed.withColumn("__copy", F.row_number().over(copies).cast("long"))
-    own = per_pass.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copy").alias("__c"), F.when(F.col("n") < F.col("size"), F.col("parts")).alias("__parts"))
-    joined = keyed.join(own, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__copy") == F.col("__c")))
-    columns = docs.columns
-    flat = joined.select(*columns, F.expr("transform(__parts, p -> p.block)").alias("__b"), F.expr("transform(__parts, p -> p.n_words)").alias("__w"))
-    at = columns.index("text")
+        copies = Window.partitionBy("doc_id", "source", size).orderBy("text")
+        keyed = keyed.withColumn(copy, F.row_number().over(copies).cast("long"))
+    own = per_pass.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("copy").alias(c), F.when(F.col("n") < F.col("size"), F.col("parts")).alias(parts), *more)
+    joined = keyed.join(own, F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(z)) & (F.col(copy) == F.col(c)))
+    flat = joined.select(*columns, F.transform(parts, lambda x: x["block"]).alias(b), F.transform(parts, lambda x: x["n_words"]).alias(w), *more)
+    at, width = columns.index("text"), len(columns)
+    schema = StructType([*docs.schema.fields, *(flat.schema[m] for m in more)])
+    names = [*columns, *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, bs, ws = batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist()
-            out = [t if b is None else cut_text(t, list(zip(b, w)), block_words) for t, b, w in zip(texts, bs, ws)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : len(columns)]], names=columns)
+            texts, bs, ws = batch.column(at).to_pylist(), batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
+            out = [t if x is None else cut_text(t, list(zip(x, y)), block_words) for t, x, y in zip(texts, bs, ws)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : width], *batch.columns[width + 2 :]], names=names)
 
-    mixed = flat.mapInArrow(frugal(run), docs.schema)
+    mixed = flat.mapInArrow(frugal(run), schema)
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else mixed
 
 
+def mixed_documents(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a row for each pass over a document, with the text of the blocks drawn.
+
+    Full passes give the text unchanged.  ``n_chars`` follows the text.  Copies
+    of a row take each the draws of one copy.
+    """
+    plan = plan_of(docs, block_words=block_words, **options)
+    return drawn_texts(docs, plan, draws(plan), [], block_words)
+
+
+def mixed_shards(docs: DataFrame, shards: int = 40, block_words: int = 512, seed: int = 0, **options) -> DataFrame:
+    """The mix as the splitting tree deals it: the columns of ``docs``, then shard and order, sorted by both.
+
+    A row for each pass over a document and each shard that drew blocks of it,
+    with the text of these blocks, at the place of the first of them in the
+    shard's shuffle.  Columns shard and order of ``docs`` give way.  Rows are
+    dealt by ranges of (shard, order), so a shard larger than a task is spread
+    over several, in order.
+    """
+    docs = docs.drop("shard", "order")
+    plan = plan_of(docs, block_words, seed, **options)
+    return materialise(drawn_texts(docs, plan, draws(plan, shards, seed), ["shard"], block_words), "mix-texts").orderBy("shard", "order")
+
+
 #: The rows of ``taken`` in SQL: water-filling in closed form, then running words along each source's permutation.
 ORACLE_SQL = """
 WITH sized AS (

@@ -39,3 +39,31 @@ def test_the_tree_meets_its_quotas_at_any_size():
     quotas = [3 * 10**10, 7, 0, 10**10 + 1]
     tree = m.split_tree(quotas, 8, 1)
     assert (tree.sum(1) == quotas).all() and (tree >= 0).all() and tree.sum(0).max() - tree.sum(0).min() <= 1
+
+
+def test_shards_are_written_as_the_tree_deals_them(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(1 + 7 * i % 60)), "ab"[i % 3 == 0], i, "x", "y", "z") for i in range(200)]
+    rows += [(500, None, "a", 0, "x", "y", "z"), (501, "", None, 0, "x", "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int, __size string, __parts string, __copy string")
+    plan = m.plan_of(docs, block_words=8).cache()
+    drawn = m.draws(plan, shards=5).collect()
+    got = m.mixed_shards(docs, shards=5, block_words=8).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "source", "__size", "__parts", "__copy", "shard", "order"}
+    assert [(r.shard, r.order) for r in got] == sorted((r.shard, r.order) for r in got)
+    texts = {i: (t or "").split() for i, t, *_ in rows}
+    want = {}
+    for r in sorted(drawn, key=lambda r: r.block):
+        words = texts[r.doc_id][r.block * 8 : r.block * 8 + r.n_words]
+        key = (r.doc_id, r.shard, r["pass"])
+        old = want.get(key, ([], "z"))
+        want[key] = old[0] + words, min(old[1], r.order)
+    assert sorted((r.doc_id, r.shard, r.order, (r.text or "").split()) for r in got) == sorted((d, k, o, w) for (d, k, _), (w, o) in want.items())
+    assert len({r.shard for r in got}) == 5
+    other = m.mixed_shards(docs, shards=5, block_words=8, seed=1).collect()
+    assert [r.doc_id for r in other] != [r.doc_id for r in got]
+
+
+def test_mixed_documents_keep_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 1, 2, "x"), (2, "d e", "s", 3, 4, "y")], "doc_id long, text string, source string, __size int, __c int, copy string")
+    got = m.mixed_documents(docs).collect()
+    assert {(r.doc_id, r["__size"], r["__c"], r.copy) for r in got} == {(1, 1, 2, "x"), (2, 3, 4, "y")}
