@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, frugal
+from .common import bytes_of, free_name, frugal
 
 _CLASS = np.zeros(256, np.int64)
 for _name, _code in ((range(0x61, 0x7B), 1), (range(0x41, 0x5B), 2), (range(0x30, 0x3A), 3), ((0x20, 0x09, 0x0D), 4), ((0x0A,), 5), (range(0x80, 0x100), 6), ((0x2E, 0x2C, 0x3B, 0x3A, 0x3F, 0x27, 0x22, 0x2D, 0x28, 0x29, 0x3D, 0x5F, 0x40, 0x2F, 0x2B, 0x3C, 0x3E), 7)):
@@ -256,13 +256,14 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
     """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
     columns = docs.columns
-    carried = docs.select(*(F.col(c) for c in columns), *(own_column(docs, c).alias(f"__{c}") for c in ("lang", "source", "n_chars")))
+    own = {c: free_name(columns, f"__{c}") for c in ("lang", "source", "n_chars")}
+    carried = docs.select(*(F.col(c) for c in columns), *(own_column(docs, c).alias(name) for c, name in own.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index
             text = np.array([text_features(t) for t in bytes_of(batch, "text")]).reshape(-1, len(TEXT_FEATURES))
-            meta = np.array([meta_features(*x) for x in zip(*(batch.column(at(f"__{c}")).to_pylist() for c in ("lang", "source", "n_chars")))]).reshape(-1, 10 + HASHED_SOURCES)
+            meta = np.array([meta_features(*x) for x in zip(*(batch.column(at(name)).to_pylist() for name in own.values()))]).reshape(-1, 10 + HASHED_SOURCES)
             keep = pa.array(shared.value.score(text, meta)[2] >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(columns))], names=columns).filter(keep)
 

@@ -13,3 +13,19 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = p.deduplicated(docs)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_columns_of_clashing_names_are_carried(spark):
+    from ostrakon.llm import cotrain
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __drop string, __row long, __c long, __N long, __stay long, __lang string, __n_chars long"
+    more = ("d", 1, 2, 3, 4, "l", 5)
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(i, t, "en", "s", len(t), *more) for i, t in [(1, text), (2, text), (3, "other words here and there")]]
+    once = p.deduplicated(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, once.collect())) == [rows[0], rows[2]]
+    twice = p.deduplicated(spark.createDataFrame([*rows, rows[2]], schema))
+    assert sorted(map(tuple, twice.collect())) == [rows[0], rows[2]]
+    labels = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int")
+    kept = cotrain.kept_documents(spark.createDataFrame(rows, schema), labels)
+    assert sorted(map(tuple, kept.collect())) == rows
