@@ -251,3 +251,18 @@ class Callables:
     def for_sql(self, spark: SparkSession, name: str, returns: str = "double") -> None:
         f = self.functions[name]
         spark.udf.register(name, F.pandas_udf(lambda s: s.map(f), returns))
+
+    def for_aggregates(self, spark: SparkSession, name: str, returns: str = "double") -> None:
+        """A function of a pandas Series as an aggregate for SQL; the values of a group are in one task."""
+        f = self.functions[name]
+        spark.udf.register(name, F.pandas_udf(lambda s: f(s), returns, F.PandasUDFType.GROUPED_AGG))
+
+    def for_tables(self, spark: SparkSession, name: str, returns: str) -> None:
+        """A function that yields tuples as a table function for SQL."""
+        f = self.functions[name]
+
+        class Rows:
+            def eval(self, *arguments):
+                yield from f(*arguments)
+
+        spark.udtf.register(name, F.udtf(Rows, returnType=returns))

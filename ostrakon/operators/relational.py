@@ -169,6 +169,29 @@ def in_boxes(points: DataFrame, boxes: DataFrame, on: Sequence[str] = (), x: str
     return inside.unionByName(outside).drop("__bin")
 
 
+def oriented_shards(pairs: DataFrame, shard: str, key: str, done: DataFrame | None = None) -> DataFrame:
+    """Pairs turned so that ``{shard}_a`` <= ``{shard}_b``, one row for each pair of keys then, without shards in ``done``.
+
+    Columns that end in _a and _b describe the two sides and are swapped
+    together; others stay.  Pairs within one shard are not turned.  Of rows with
+    equal keys the least in order of all columns stays.  Rows without a shard
+    or key go.  ``done`` holds the shards ({shard}_a, {shard}_b) that an earlier
+    run has written, so that a run can be taken up again.
+    """
+    sides = [c[:-2] for c in pairs.columns if c.endswith("_a") and f"{c[:-2]}_b" in pairs.columns]
+    swap = F.col(f"{shard}_a") > F.col(f"{shard}_b")
+    turned = {f"{s}_{x}": F.when(swap, F.col(f"{s}_{y}")).otherwise(F.col(f"{s}_{x}")) for s in sides for x, y in (("a", "b"), ("b", "a"))}
+    whole = pairs.where(" AND ".join(f"{c}_{x} IS NOT NULL" for c in (shard, key) for x in "ab"))
+    out = whole.select(*(turned.get(c, F.col(c)).alias(c) for c in pairs.columns))
+    if done is not None:
+        out = out.join(done.select(f"{shard}_a", f"{shard}_b").distinct(), [f"{shard}_a", f"{shard}_b"], "left_anti")
+    one = [f"{shard}_a", f"{shard}_b", f"{key}_a", f"{key}_b"]
+    rest = [c for c in pairs.columns if c not in one]
+    if not rest:
+        return out.select(*pairs.columns).distinct()
+    return out.groupBy(*one).agg(F.min(F.struct(*rest)).alias("rest")).select(*one, "rest.*").select(*pairs.columns)
+
+
 def interpolate(df: DataFrame, at: str, anchors: DataFrame, x: str, y: str, to: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Linear interpolation between anchor points; beyond them the outer segments go on; then clamped.
 

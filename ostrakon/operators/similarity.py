@@ -173,6 +173,22 @@ def transposes(users: DataFrame, signature: str, user: str, categories: str, lea
     return out
 
 
+def verified_transposes(pairs: DataFrame, users: DataFrame, user: str, methods: str, refs: str) -> DataFrame:
+    """The pairs of ``transposes`` with shared_methods, shared_refs and score = gap + 2 * shared methods + shared refs.
+
+    ``methods`` and ``refs`` are arrays of ``users``, one row a user; a null
+    array, or a user without a row, shares nothing.
+    """
+    known = users.select(user, methods, refs)
+    out = pairs
+    for end in ("a", "b"):
+        out = out.join(known.select(F.col(user).alias(end), F.col(methods).alias(f"m{end}"), F.col(refs).alias(f"r{end}")), end, "left")
+    for name, x in (("shared_methods", "m"), ("shared_refs", "r")):
+        both = F.array_intersect(f"{x}a", f"{x}b")
+        out = out.withColumn(name, F.when(both.isNull(), 0).otherwise(F.size(both)))
+    return out.withColumn("score", F.col("gap") + 2 * F.col("shared_methods") + F.col("shared_refs")).select(*pairs.columns, "shared_methods", "shared_refs", "score")
+
+
 def vote(members: DataFrame, gene_sets: DataFrame, gene: str, set_name: str, channel: str, tiebreak: DataFrame | None = None) -> DataFrame:
     """Each gene's channel by the number of gene sets it shares with the channel's known genes; ties by ``tiebreak`` (gene, channel, n), then name."""
     known = gene_sets.join(members.select(F.col(gene), channel), gene).select(set_name, channel)

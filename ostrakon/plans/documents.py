@@ -14,14 +14,16 @@ from ..session import cut
 
 #: Words that say nothing in a label; a fixed list.
 STOP = ("the and for that this with from are was were has have had not but its their which these those into over under than then there where when what who how".split())
-#: Patterns of structure in texts; fixed values.
+# Patterns of structure in LaTeX texts.
+#: Named items: their kind and number.
 STRUCTURE = {
-    "theorems": r"(?i)\b(?:theorem|lemma|proposition|corollary)\s+\d+(?:\.\d+)*",
-    "definitions": r"(?i)\bdefinition\s+\d+(?:\.\d+)*",
-    "citations": r"\\cite\w*\{([^}]+)\}",
-    "bold": r"\\textbf\{([^}]+)\}",
-    "math": r"\$([^$]+)\$",
+    "theorems": r"(?i)\\textbf\{(Theorem|Lemma|Corollary|Proposition)\s*(\d+[a-z]?)\}",
+    "definitions": r"(?i)\\textbf\{(Definition|Def\.?)\s*(\d+[a-z]?)\}",
+    "claims": r"(?i)\\textbf\{(Claim|Conjecture|Remark|Open Question)\s*(\d+[a-z]?)\}",
 }
+CITATION = r"\{?\[([A-Za-z][A-Za-z0-9]+\d{4}[a-z]?(?:,\s*[A-Za-z][A-Za-z0-9]+\d{4}[a-z]?)*)\]\}?"
+BOLD = r"\\textbf\{([^}]{10,80})\}"
+MATH = r"\\\(|\\\[|\$"
 
 
 def strip_markup(text: Column) -> Column:
@@ -87,9 +89,23 @@ def chunk(docs: DataFrame, key: str, text: str, most: int = 1500, overlap: int =
     return out.withColumn("char_count", F.length("text")).withColumn("token_estimate", F.floor(F.length("text") / 4).cast("int"))
 
 
-def structure(df: DataFrame, text: str, most: int = 20) -> DataFrame:
-    """Arrays of theorems, definitions, citations, bold phrases and formulas found in a text, distinct, in order, at most so many each."""
-    return df.withColumns({n: F.slice(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1 if "(" in p.replace("(?", "") else 0))), 1, most) for n, p in STRUCTURE.items()})
+def structure(df: DataFrame, text: str, most_bold: int | None = None) -> DataFrame:
+    """Adds what a LaTeX text states by its marks.
+
+    theorems, definitions, claims: arrays of (type, number), in order;
+    citations: keys such as Name2001a, distinct, in order; bold_claims: bold
+    phrases of 10 to 80 characters, in order, the first ``most_bold`` if that
+    is given; has_math.  All are null for a null text.
+    """
+    t = F.col(text)
+    found = {}
+    for name, p in STRUCTURE.items():
+        kinds, numbers = (F.regexp_extract_all(t, F.lit(p), F.lit(k)) for k in (1, 2))
+        found[name] = F.zip_with(kinds, numbers, lambda k, n: F.struct(k.alias("type"), n.alias("number")))
+    keys = F.transform(F.regexp_extract_all(t, F.lit(CITATION), F.lit(1)), lambda c: F.split(c, r",\s*"))
+    bold = F.transform(F.regexp_extract_all(t, F.lit(BOLD), F.lit(1)), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
+    found |= {"citations": F.array_distinct(F.flatten(keys)), "bold_claims": bold if most_bold is None else F.slice(bold, 1, most_bold), "has_math": t.rlike(MATH)}
+    return df.withColumns(found)
 
 
 def tfidf(docs: DataFrame, key: str, text: str, most_words: int = 3, top: int = 10) -> DataFrame:

@@ -1074,6 +1074,27 @@ def _(t):
     return M.transposes(t.part.withColumn("c", F.array("p_type", "p_brand")).withColumnRenamed("p_name", "sig"), "sig", "p_partkey", F.col("c"))
 
 
+@query("e11_verified", """WITH u AS (SELECT p_name AS sig, list_sort(list_distinct([p_type, p_brand])) AS c, min(p_partkey) AS u FROM part GROUP BY 1, 2), p AS (SELECT a.sig, a.u AS a, b.u AS b, len(list_filter(a.c, lambda x: NOT list_contains(b.c, x))) + len(list_filter(b.c, lambda x: NOT list_contains(a.c, x))) AS gap FROM u a JOIN u b ON a.sig = b.sig AND a.u < b.u),
+ k AS (SELECT p_partkey, ['m' || (p_size % 3), 'n' || (p_size % 4)] AS m, ['r' || (p_partkey % 5), 's' || (p_partkey % 7), 't' || (p_size % 2)] AS r FROM part), s AS (SELECT sig, a, b, CAST(gap AS BIGINT) AS gap, CAST(len(list_intersect(x.m, y.m)) AS BIGINT) AS shared_methods, CAST(len(list_intersect(x.r, y.r)) AS BIGINT) AS shared_refs FROM p JOIN k x ON x.p_partkey = a JOIN k y ON y.p_partkey = b WHERE gap >= 2)
+ SELECT *, gap + 2 * shared_methods + shared_refs AS score FROM s""")
+def _(t):
+    tag = lambda name, c, n: F.concat(F.lit(name), (F.col(c) % n).cast("string"))
+    users = t.part.withColumnRenamed("p_name", "sig").withColumns({"c": F.array("p_type", "p_brand"), "m": F.array(tag("m", "p_size", 3), tag("n", "p_size", 4)), "r": F.array(tag("r", "p_partkey", 5), tag("s", "p_partkey", 7), tag("t", "p_size", 2))})
+    return M.verified_transposes(M.transposes(users, "sig", "p_partkey", F.col("c"), farthest_only=False), users, "p_partkey", "m", "r")
+
+
+@query("e14_shards", """WITH p AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, x.l_orderkey AS o FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = 1 AND y.l_linenumber = 2),
+ n AS (SELECT CASE WHEN u.s_nationkey > v.s_nationkey THEN v.s_nationkey ELSE u.s_nationkey END::BIGINT AS shard_a, CASE WHEN u.s_nationkey > v.s_nationkey THEN u.s_nationkey ELSE v.s_nationkey END::BIGINT AS shard_b, CASE WHEN u.s_nationkey > v.s_nationkey THEN b ELSE a END AS id_a, CASE WHEN u.s_nationkey > v.s_nationkey THEN a ELSE b END AS id_b, o FROM p JOIN supplier u ON u.s_suppkey = a JOIN supplier v ON v.s_suppkey = b)
+ SELECT shard_a, shard_b, id_a, id_b, min(o) AS o FROM n WHERE NOT (shard_a = shard_b AND shard_a < 3) GROUP BY 1, 2, 3, 4""")
+def _(t):
+    line = lambda k, x: t.lineitem.where(F.col("l_linenumber") == k).select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias(f"id_{x}"))
+    pairs = line(1, "a").join(line(2, "b"), "o")
+    for x in "ab":
+        pairs = pairs.join(t.supplier.select(F.col("s_suppkey").alias(f"id_{x}"), F.col("s_nationkey").cast("long").alias(f"shard_{x}")), f"id_{x}")
+    done = t.nation.where("n_nationkey < 3").select(F.col("n_nationkey").cast("long").alias("shard_a"), F.col("n_nationkey").cast("long").alias("shard_b"))
+    return R.oriented_shards(pairs, "shard", "id", done)
+
+
 @query("e16_votes", "WITH s AS (SELECT DISTINCT p_brand AS gene, p_size AS st FROM part), m AS (SELECT DISTINCT p_brand AS gene, CASE WHEN CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS ch FROM part WHERE CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) < 15), k AS (SELECT st, ch FROM s JOIN m USING (gene)), v AS (SELECT gene, ch, count(*) AS votes FROM s JOIN k USING (st) WHERE gene NOT IN (SELECT gene FROM m) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY votes DESC, ch) AS r FROM v) SELECT gene, ch, CAST(votes AS BIGINT) AS votes FROM r WHERE r = 1")
 def _(t):
     i = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
@@ -1143,10 +1164,24 @@ def _(t):
     return D.class_labels(t.documents, "lang", "text")
 
 
-@query("d11_structure")
+def _named(p: str) -> str:
+    """Kind and number of named items in SQL."""
+    p = p.removeprefix("(?i)")
+    return f"array_to_string(list_transform(list_zip(regexp_extract_all(t, '{p}', 1, 'i'), regexp_extract_all(t, '{p}', 2, 'i')), lambda z: z[1] || ' ' || z[2]), '|')"
+
+
+@query("d11_structure", rf"""WITH d AS (SELECT doc_id, '\textbf{{' || CASE doc_id % 4 WHEN 0 THEN 'Theorem' WHEN 1 THEN 'lemma' WHEN 2 THEN 'Corollary' ELSE 'Definition' END || ' ' || (doc_id % 7) || CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE '' END || '}} \textbf{{Def. 2}} '
+  || CASE WHEN doc_id % 2 = 0 THEN '\textbf{{Open Question 3b}} {{[Ab2001, Cd1999b]}} [Ab2001] [Zz9] ' ELSE '\textbf{{ a phrase in bold here }} \textbf{{short}} \(x\) ' END || text AS t FROM documents)
+ SELECT doc_id, {", ".join(f"{_named(p)} AS {n}" for n, p in D.STRUCTURE.items())}, array_to_string(list_sort(list_distinct(flatten(list_transform(regexp_extract_all(t, '{D.CITATION}', 1), lambda c: string_split_regex(c, ',\s*'))))), '|') AS citations,
+  array_to_string(list_transform(regexp_extract_all(t, '{D.BOLD}', 1), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g'))[1:10], '|') AS bold_claims, regexp_matches(t, '{D.MATH}') AS has_math FROM d""")
 def _(t):
-    x = D.structure(t.documents.withColumn("text", F.concat(F.lit(r"Theorem 1.2 holds. \cite{ab} \textbf{bold} $x+1$ "), "text")), "text")
-    return x.select("doc_id", *(F.array_join(c, "|").alias(c) for c in D.STRUCTURE))
+    i = F.col("doc_id")
+    kind = F.get(F.array(*map(F.lit, ("Theorem", "lemma", "Corollary", "Definition"))), (i % 4).cast("int"))
+    head = F.concat(F.lit(r"\textbf{"), kind, F.lit(" "), (i % 7).cast("string"), F.when(i % 3 == 0, "a").otherwise(""), F.lit(r"} \textbf{Def. 2} "))
+    more = F.when(i % 2 == 0, r"\textbf{Open Question 3b} {[Ab2001, Cd1999b]} [Ab2001] [Zz9] ").otherwise(r"\textbf{ a phrase in bold here } \textbf{short} \(x\) ")
+    x = D.structure(t.documents.select("doc_id", F.concat(head, more, "text").alias("text")), "text", 10)
+    named = (F.array_join(F.transform(c, lambda z: F.concat_ws(" ", z["type"], z["number"])), "|").alias(c) for c in D.STRUCTURE)
+    return x.select("doc_id", *named, F.array_join(F.array_sort("citations"), "|").alias("citations"), F.array_join("bold_claims", "|").alias("bold_claims"), "has_math")
 
 
 @query("d12_tfidf")
@@ -1214,6 +1249,22 @@ def _(t):
     return S.two_step_templates(t.part.select("p_partkey", F.array(F.col("p_size").cast("double"), F.lit(3.0), F.lit(4.0)).alias("n")), "p_partkey", "n")
 
 
+@query("ud3_aggregate", "SELECT p_brand, CAST(sum(p_size * p_size) AS DOUBLE) AS squares FROM part GROUP BY p_brand")
+def _(t):
+    c = L.Callables()
+    c.register("sum_of_squares", lambda s: float((s * s).sum()))
+    c.for_aggregates(t.spark, "sum_of_squares")
+    return t.part.groupBy("p_brand").agg(F.call_function("sum_of_squares", F.col("p_size").cast("double")).alias("squares"))
+
+
+@query("ud4_table_function", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, CAST(generate_subscripts(string_split(p_name, ' '), 1) - 1 AS BIGINT) AS pos FROM part")
+def _(t):
+    c = L.Callables()
+    c.register("words_of", lambda text: ((i, w) for i, w in enumerate((text or "").split(" "))))
+    c.for_tables(t.spark, "words_of", "pos int, word string")
+    return t.spark.sql("SELECT p.p_partkey, w.word, w.pos FROM {part} p, LATERAL words_of(p.p_name) w", part=t.part)
+
+
 _SIGNS = " || ".join(f"regexp_extract_all(lower(text), '{p}')" for p in (
     r"\bfor (?:all|every|each)\b", r"\bthere (?:exists?|is|are)\b", r"\bif and only if\b", r"\bat (?:least|most)\b", r"\bis (?:an?|the)\b", r"\b(?:equals?|implies|contains?|preserves?|divides?|converges?)\b",
 ))

@@ -187,3 +187,23 @@ def test_ranks_and_bins(spark):
     big = spark.range(1000).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(50)).cast("double"))
     ranked = A.global_rank(big, ["v", "id"], "r").collect()
     assert [r.r for r in sorted(ranked, key=lambda r: (r.v, r.id))] == list(range(1, 1001))
+
+
+def test_shards_of_turned_pairs(spark):
+    from ostrakon.operators import relational as R
+
+    rows = [("x", 2, "y", 1, "n"), ("y", 1, "x", 2, "m"), ("p", 3, "q", 3, "n"), ("q", 3, "p", 3, "n"), (None, 1, "z", 2, "n"), ("u", None, "z", 2, "n"), ("v", 5, "w", 4, None)]
+    df = spark.createDataFrame(rows, "g_a string, c_a int, g_b string, c_b int, note string")
+    got = lambda done=None: sorted(map(tuple, R.oriented_shards(df, "c", "g", done).collect()), key=str)
+    assert got() == [("p", 3, "q", 3, "n"), ("q", 3, "p", 3, "n"), ("w", 4, "v", 5, None), ("y", 1, "x", 2, "m")]
+    assert got(spark.createDataFrame([(1, 2), (3, 3)], "c_a int, c_b int")) == [("w", 4, "v", 5, None)]
+    assert R.oriented_shards(df.limit(0), "c", "g").isEmpty()
+
+
+def test_verified_transposes_score_shared_methods_and_refs(spark):
+    from ostrakon.operators import similarity as M
+
+    pairs = spark.createDataFrame([("s", 1, 2, 3), ("s", 1, 3, 2), ("s", 2, 9, 4)], "sig string, a int, b int, gap int")
+    users = spark.createDataFrame([(1, ["m", "n"], ["r"]), (2, ["n", "m", "k"], ["r", "q"]), (3, None, [])], "u int, m array<string>, r array<string>")
+    got = sorted(map(tuple, M.verified_transposes(pairs, users, "u", "m", "r").collect()))
+    assert got == [("s", 1, 2, 3, 2, 1, 8), ("s", 1, 3, 2, 0, 0, 2), ("s", 2, 9, 4, 0, 0, 4)]

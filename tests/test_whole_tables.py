@@ -11,14 +11,20 @@ from ostrakon.queries import QUERIES
 OPS = {"add": operator.add, "subtract": operator.sub, "multiply": operator.mul, "divide": lambda a, b: a / b if b else None}
 
 
-def test_structure_of_every_document(spark, sf):
-    rows = {r.doc_id: r for r in QUERIES["d11_structure"](spark, sf).collect()}
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    assert rows.keys() == {d.doc_id for d in docs} and max(rows) >= 50
-    cite = re.compile(D.STRUCTURE["citations"])
-    for d in docs:
-        text = r"Theorem 1.2 holds. \cite{ab} \textbf{bold} $x+1$ " + d.text
-        assert rows[d.doc_id].citations == "|".join(list(dict.fromkeys(m[1] for m in cite.finditer(text)))[:20])
+def test_structure_beside_plain_patterns(spark):
+    texts = [
+        r"\textbf{Theorem 1a} and \textbf{LEMMA 22} \textbf{Def 3} \textbf{Definition4b} \textbf{Open Question 5} \textbf{Theorem x}",
+        "[Ab2001,  Cd1999b] {[Ab2001]} [Zz9] [ab2001 x] [Ef2003a]", r"\textbf{too short} \textbf{ in bold, long enough }" * 12, r"\(x\)", "a $ sign", "", "plain " * 20_000, None,
+    ]
+    rows = D.structure(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text").orderBy("id").collect()
+    for r in rows[:-1]:
+        for name, p in D.STRUCTURE.items():
+            assert [tuple(x) for x in r[name]] == [m.groups() for m in re.finditer(p, r.text)]
+        assert r.citations == list(dict.fromkeys(k for m in re.finditer(D.CITATION, r.text) for k in re.split(r",\s*", m[1])))
+        assert r.bold_claims == [m[1].strip() for m in re.finditer(D.BOLD, r.text)] and r.has_math == bool(re.search(D.MATH, r.text))
+    assert [len(rows[0][n]) for n in D.STRUCTURE] == [2, 2, 1] and rows[1].citations == ["Ab2001", "Cd1999b", "Ef2003a"] and len(rows[2].bold_claims) == 12
+    assert rows[-1].theorems is None and rows[-1].citations is None and rows[-1].has_math is None
+    assert len(D.structure(spark.createDataFrame([(texts[2],)], "text string"), "text", 10).first().bold_claims) == 10
 
 
 def test_templates_of_every_part(spark, sf):
