@@ -21,6 +21,7 @@ from .operators import stats as T
 from .operators import survival as V
 from .operators import walk as K
 from .plans import documents as D
+from .session import scratch_path
 from .sources import readers, writers
 from .streaming import streams
 
@@ -105,6 +106,145 @@ def _(t):
     return readers.scan_edges(t.edges().withColumn("deprecated", F.lit(None).cast("boolean")), "R", "value > 3").drop("deprecated")
 
 
+def _place(t: Tables, name: str) -> str:
+    return scratch_path(t.spark, name)
+
+
+def _text(df: DataFrame, line: Column, path: str, **options: str) -> str:
+    """``line`` of every row written as text files."""
+    df.select(line.alias("value")).write.mode("overwrite").options(**options).text(path)
+    return path
+
+
+_PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+
+
+@query("sc1_sk1_csv", "SELECT p_partkey, p_brand, p_retailprice FROM part")
+def _(t):
+    path = _place(t, "csv")
+    writers.write_csv(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), path)
+    return readers.read_csv(t.spark, path, _PART, ["p_partkey", "p_brand", "p_retailprice"])
+
+
+@query("sc2_keyed_csv", "SELECT p_partkey AS id, p_name, p_size FROM part")
+def _(t):
+    path = _place(t, "keyed-csv")
+    writers.write_csv(t.part.select(F.col("p_partkey").alias("any name"), "p_name", "p_size"), path)
+    return readers.read_keyed_csv(t.spark, path, "`any name` long, p_name string, p_size int", "id")
+
+
+@query("sc3_sc4_gzip_tsv", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS price FROM part")
+def _(t):
+    # Sizes are read as doubles; NaN is null.
+    path = _place(t, "tsv")
+    price = F.when(F.col("p_partkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice")).alias("price")
+    t.part.select("p_partkey", "p_size", price).write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    return readers.read_tsv(t.spark, path, "p_partkey long, p_size double, price double")
+
+
+@query("sc5_links", f"WITH {E} SELECT CAST(src AS VARCHAR) AS protein1, 'p' || dst AS protein2, CAST(value AS BIGINT) AS combined_score FROM e WHERE value >= 5 AND dst % 10 <> 0")
+def _(t):
+    # Every tenth part's rows hold no number and are skipped.
+    score = F.when(F.col("dst") % 10 == 0, "none").otherwise(F.col("value").cast("int").cast("string"))
+    path = _text(t.edges(), F.concat_ws(" ", F.col("src").cast("string"), F.concat(F.lit("p"), "dst"), score), _place(t, "links"), compression="gzip")
+    return readers.read_links(t.spark, path, 5)
+
+
+@query("sc7_sk12_shards", "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(1 AS BIGINT) AS shards_of_a_key FROM orders")
+def _(t):
+    # Files hold consecutive ids, so a range of a hundred ids lies in two files at most, and an id in one.
+    path = _place(t, "shards")
+    writers.write_ranges(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", path, 8)
+    read = readers.read_shards(t.spark, path).withColumn("file", F.input_file_name())
+    files = read.groupBy("o_orderkey").agg(F.countDistinct("file").alias("shards_of_a_key"))
+    return read.drop("file").join(files, "o_orderkey")
+
+
+@query("sc8_jsonl", "SELECT event_id, event_type, value FROM events WHERE event_id % 5 <> 0")
+def _(t):
+    # Every fifth line is broken or blank and is skipped.
+    whole = F.to_json(F.struct("event_id", "event_type", "value"))
+    line = F.when(F.col("event_id") % 10 == 0, "").when(F.col("event_id") % 5 == 0, F.substring(whole, 1, 12)).otherwise(whole)
+    return readers.read_jsonl(t.spark, _text(t.events, line, _place(t, "jsonl")), "event_id long, event_type string, value double")
+
+
+@query("sc9_document", "SELECT 'nations' AS section, CAST(n_nationkey AS BIGINT) AS id, n_name AS title FROM nation UNION ALL SELECT 'regions', CAST(r_regionkey AS BIGINT), r_name FROM region")
+def _(t):
+    # Nations and regions are fixed in number; one JSON document over several lines holds both.
+    n = t.nation.agg(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))).alias("nations"))
+    r = t.region.agg(F.collect_list(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("title"))).alias("regions"))
+    path = _text(n.crossJoin(r), F.to_json(F.struct(F.struct("nations", "regions").alias("dataset")), {"pretty": "true"}), _place(t, "document"))
+    return readers.read_document(t.spark, path, "dataset", ["nations", "regions"], "id: long, title: string")
+
+
+@query("sc11_fasta", "SELECT 'P' || p_partkey AS id, 'P' || p_partkey || ' ' || p_name AS description, repeat('ACGT', CAST(p_size AS INT)) AS sequence FROM part")
+def _(t):
+    bases = F.repeat(F.lit("AC\nGT"), F.col("p_size"))
+    return readers.read_fasta(t.spark, _text(t.part, F.concat(F.lit(">P"), "p_partkey", F.lit(" "), "p_name", F.lit("\n"), bases), _place(t, "fasta")))
+
+
+@query("sc12_gene_sets", "SELECT DISTINCT p_brand AS \"set\", CAST(p_partkey AS VARCHAR) AS gene FROM part")
+def _(t):
+    sets = t.part.groupBy("p_brand").agg(F.collect_list(F.col("p_partkey").cast("string")).alias("genes"))
+    return readers.read_gmt(t.spark, _text(sets, F.concat_ws("\t", "p_brand", F.lit("parts of a brand"), "genes"), _place(t, "gmt")))
+
+
+@query("sc13_annotations", "SELECT 'G' || l_partkey AS gene, 'T' || l_suppkey AS term, l_returnflag AS evidence FROM lineitem WHERE l_linenumber % 2 = 0 AND l_quantity <> 50")
+def _(t):
+    taxon = F.when(F.col("l_linenumber") % 2 == 0, "9606").otherwise("10090")
+    negated = F.when(F.col("l_quantity") == 50, "NOT part_of").otherwise("part_of")
+    line = F.concat_ws("\t", taxon, F.concat(F.lit("G"), "l_partkey"), F.concat(F.lit("T"), "l_suppkey"), "l_returnflag", negated)
+    return readers.read_annotations(t.spark, _text(t.lineitem, line, _place(t, "annotations")), "9606")
+
+
+@query("sc13_ontology", "SELECT DISTINCT 'T:' || c_custkey AS src, 'N:' || c_nationkey AS dst FROM customer UNION ALL SELECT 'T:' || c_custkey, 'S:' || c_mktsegment FROM customer")
+def _(t):
+    stanza = F.concat(F.lit("[Term]\nid: T:"), "c_custkey", F.lit("\nname: x\nis_a: N:"), "c_nationkey", F.lit(" ! nation\nis_a: S:"), "c_mktsegment", F.lit("\n"))
+    return readers.read_obo(t.spark, _text(t.customer, stanza, _place(t, "obo")))
+
+
+@query("sk2_sk4_edges", f"WITH {E} SELECT src, dst, etype, value FROM e")
+def _(t):
+    # Two batches appended to one table that is partitioned by type.
+    path = _place(t, "edges")
+    writers.append_edges(t.edges().where("src % 2 = 0"), path)
+    writers.append_edges(t.edges().where("src % 2 = 1"), path)
+    return t.spark.read.parquet(path).select("src", "dst", "etype", "value")
+
+
+@query("sk8_journal", "SELECT src, dst, CASE WHEN src % 2 = 0 THEN '2024-01-01' ELSE '2024-01-02' END AS day FROM (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)")
+def _(t):
+    path, pairs = _place(t, "journal"), t.edges().select("src", "dst")
+    for k, day in ((0, "2024-01-01"), (1, "2024-01-02")):
+        writers.journal(pairs.where(F.col("src") % 2 == k), path, "PPI", "test", "s", f"{day} 10:00:00")
+        writers.journal(pairs.where(F.col("src") % 2 == k), path, "OTHER", "test", "s", f"{day} 11:00:00")
+    return writers.replay(writers.read_journal(t.spark, path), "src long, dst long", "PPI").select("src", "dst", F.date_format("timestamp", "yyyy-MM-dd").alias("day"))
+
+
+@query("sk9_snapshot", f"WITH {E} SELECT 'edge' AS what, etype AS name, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY etype UNION ALL SELECT 'node', p_brand, count(*) FROM part GROUP BY p_brand")
+def _(t):
+    return writers.snapshot(t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label")), t.edges(), _place(t, "snapshot"))
+
+
+@query("sk11_classes", "SELECT CAST(label AS BIGINT) AS class, vec_id FROM embeddings")
+def _(t):
+    path = _place(t, "classes")
+    writers.write_classes(t.embeddings.select(F.col("label").alias("class"), "vec_id"), path)
+    return t.spark.read.schema("vec_id long, class int").json(path).select("class", "vec_id")
+
+
+@query("g30_sk13_edge_lists", f"WITH {E} SELECT 's' || src AS src, 'p' || dst AS dst, etype, value FROM e")
+def _(t):
+    # Indices are dense from 0 within each write, so they lead back to the edges.
+    path = _place(t, "edge-lists")
+    nodes = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("supplier").alias("label")).unionByName(t.part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("part").alias("label")))
+    edges = t.edges().withColumns({"src": F.concat(F.lit("s"), "src"), "dst": F.concat(F.lit("p"), "dst")})
+    writers.write_edge_lists(nodes, edges, path)
+    at = t.spark.read.parquet(f"{path}/nodes")
+    read = t.spark.read.parquet(f"{path}/edges")
+    return read.join(at.select(F.col("index").alias("s"), F.col("id").alias("src")), "s").join(at.select(F.col("index").alias("d"), F.col("id").alias("dst")), "d").select("src", "dst", "etype", "value")
+
+
 @query("p1_rename", "SELECT p_partkey AS id, p_brand AS brand FROM part")
 def _(t):
     return t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
@@ -1184,7 +1324,10 @@ def _(t):
     return x.select("doc_id", *named, F.array_join(F.array_sort("citations"), "|").alias("citations"), F.array_join("bold_claims", "|").alias("bold_claims"), "has_math")
 
 
-@query("d12_tfidf")
+@query("d12_tfidf", r"""WITH d AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) > 2) AS w FROM benchmark),
+ g AS (SELECT item_id, unnest(w) AS phrase FROM d UNION ALL SELECT item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d UNION ALL SELECT item_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM d),
+ f AS (SELECT item_id, phrase, count(*) AS tf FROM g GROUP BY 1, 2), c AS (SELECT phrase, count(*) AS df FROM f GROUP BY 1), s AS (SELECT item_id, phrase, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1 + df)) + 1) AS score FROM f JOIN c USING (phrase)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, phrase) AS rank FROM s) SELECT item_id, phrase, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10""")
 def _(t):
     return D.tfidf(t.benchmark, "item_id", "text")
 
@@ -1244,7 +1387,10 @@ def _(t):
     return t.part.select("p_partkey", S.fold_chain(F.col("p_size"), steps).alias("x"), S.operate(F.col("p_size").cast("double"), F.lit("remainder"), F.lit(7.0)).alias("r"))
 
 
-@query("f15_templates")
+@query("f15_templates", """WITH n AS (SELECT p_partkey, i, CAST(CASE i WHEN 1 THEN p_size WHEN 2 THEN 3 ELSE 4 END AS DOUBLE) AS v FROM part, range(1, 4) r(i)), o AS (SELECT unnest(['add', 'subtract', 'multiply', 'divide']) AS op),
+ one AS (SELECT x.p_partkey, x.i, y.i AS j, x.v || ' ' || op || ' ' || y.v AS expression, CASE op WHEN 'add' THEN x.v + y.v WHEN 'subtract' THEN x.v - y.v WHEN 'multiply' THEN x.v * y.v ELSE x.v / nullif(y.v, 0) END AS value FROM n x JOIN n y ON x.p_partkey = y.p_partkey AND x.i <> y.i, o),
+ two AS (SELECT one.p_partkey, expression || ' ' || op || ' ' || v AS expression, CASE op WHEN 'add' THEN value + v WHEN 'subtract' THEN value - v WHEN 'multiply' THEN value * v ELSE value / nullif(v, 0) END AS value FROM one JOIN n ON n.p_partkey = one.p_partkey AND n.i <> one.i AND n.i <> j, o)
+ SELECT DISTINCT p_partkey, expression, round(value, 6) + 0.0 AS value FROM (SELECT p_partkey, expression, value FROM one UNION ALL SELECT * FROM two) WHERE value IS NOT NULL""")
 def _(t):
     return S.two_step_templates(t.part.select("p_partkey", F.array(F.col("p_size").cast("double"), F.lit(3.0), F.lit(4.0)).alias("n")), "p_partkey", "n")
 

@@ -18,13 +18,17 @@ def session(name: str = "ostrakon", **config: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again, so iterations have short plans and lost executors cost a reread."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder that ``spark.checkpoint.dir`` names; a local session may name none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = (folder or "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/{spark.sparkContext.applicationId}/{name}-{next(_serial)}"
+    return f"{folder}/{spark.sparkContext.applicationId}/{name}-{next(_serial)}"
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written to the shared folder and read again, so iterations have short plans and lost executors cost a reread."""
+    path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
