@@ -210,12 +210,21 @@ def interpolate(df: DataFrame, at: str, anchors: DataFrame, x: str, y: str, to:
     return df.join(F.broadcast(seg), inside).withColumn(to, value).drop("__x0", "__y0", "__x1", "__y1", "__i", "__last")
 
 
-def pairs_within(df: DataFrame, group: Sequence[str], item: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Unordered pairs of different items that share a group: a, b with a < b."""
+def pairs_within(df: DataFrame, group: Sequence[str], item: str, keep: Sequence[str] = (), tile: int = 2000) -> DataFrame:
+    """Unordered pairs of different items that share a group: a, b with a < b.
+
+    A group of more than ``tile`` items is cut into tiles by the items' hashes,
+    and each pair of tiles is joined by itself; so one large group, whose
+    pairs grow with its square, is spread over many tasks.  Rows without a group
+    make no pairs.
+    """
     one = df.select(*group, item, *keep).distinct()
-    left = one.select(*group, F.col(item).alias("a"), *(F.col(c).alias(f"{c}_a") for c in keep))
-    right = one.select(*group, F.col(item).alias("b"), *(F.col(c).alias(f"{c}_b") for c in keep))
-    return left.join(right, list(group)).where("a < b")
+    large = one.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / tile).alias("__k")).where("__k > 1")
+    tiled = one.join(large, list(group), "left").withColumn("__k", F.coalesce("__k", F.lit(1))).withColumn("__own", F.pmod(F.xxhash64(item), F.col("__k")))
+    tiled = tiled.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1)))
+    left = tiled.select(*group, F.col("__own").alias("__s"), F.col("__other").alias("__t"), F.col(item).alias("a"), *(F.col(c).alias(f"{c}_a") for c in keep))
+    right = tiled.select(*group, F.col("__other").alias("__s"), F.col("__own").alias("__t"), F.col(item).alias("b"), *(F.col(c).alias(f"{c}_b") for c in keep))
+    return left.join(right, [*group, "__s", "__t"]).where("a < b").drop("__s", "__t")
 
 
 def shared_neighbours(edges: DataFrame, left: str, via: str, kind: str | None = None) -> DataFrame:

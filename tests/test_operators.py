@@ -207,3 +207,14 @@ def test_verified_transposes_score_shared_methods_and_refs(spark):
     users = spark.createDataFrame([(1, ["m", "n"], ["r"]), (2, ["n", "m", "k"], ["r", "q"]), (3, None, [])], "u int, m array<string>, r array<string>")
     got = sorted(map(tuple, M.verified_transposes(pairs, users, "u", "m", "r").collect()))
     assert got == [("s", 1, 2, 3, 2, 1, 8), ("s", 1, 3, 2, 0, 0, 2), ("s", 2, 9, 4, 0, 0, 4)]
+
+
+def test_pairs_of_a_large_group_are_joined_by_tiles(spark):
+    from ostrakon.operators import relational as R
+
+    rows = [("hub", i, i % 3) for i in range(40)] + [("hub", 7, 1), ("small", 1, 0), ("small", 2, 0), ("one", 5, 0), (None, 1, 0), (None, 2, 0), ("small", None, 0)]
+    df = spark.createDataFrame(rows, "g string, i int, v int")
+    got = [tuple(r) for r in R.pairs_within(df, ["g"], "i", ["v"], tile=6).select("g", "a", "b", "v_a", "v_b").collect()]
+    assert sorted(got) == sorted([("hub", a, b, a % 3, b % 3) for a in range(40) for b in range(a + 1, 40)] + [("small", 1, 2, 0, 0)])
+    assert sorted(got) == sorted(tuple(r) for r in R.pairs_within(df, ["g"], "i", ["v"]).select("g", "a", "b", "v_a", "v_b").collect())
+    assert R.pairs_within(df.limit(0), ["g"], "i").columns == ["g", "a", "b"]
