@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,3 +29,40 @@ def test_cosine_pairs_of_large_groups_are_products_of_matrices(spark, sf):
         got = [tuple(r) for r in M.cosine_pairs(df, "id", "v", ["g"], 5, tile).collect()]
         assert len(got) == len(want) and {(a, b): c for a, b, c in got} == want
     assert "FlatMapGroupsInArrow" in plan(QUERIES["e2_cosine"](spark, sf))
+
+
+def dense_sets(n=70, copies=25):
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(9), rng.randrange(5, 9))) for _ in range(n)]
+    sets += [sets[0]] * copies
+    return [(e, i, e % 2) for e, s in enumerate(sets) for i in s]
+
+
+def plain_pairs(data, threshold):
+    sets = {}
+    for e, i, g in data:
+        sets.setdefault((g, e), set()).add(i)
+    out = [(g, a, b, len(x & y), len(x & y) / len(x | y)) for ((g, a), x), ((h, b), y) in combinations(sorted(sets.items()), 2) if g == h]
+    return sorted(r for r in out if r[4] >= threshold)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_jaccard_of_frequent_items_forms_no_join_of_pairs(spark, kind):
+    data = dense_sets()
+    df = spark.createDataFrame([(f"{e:03}" if kind == "string" else e, i, g) for e, i, g in data], f"e {kind}, x int, g int")
+    got = M.jaccard_join(df, "e", "x", 0.8, ["g"])
+    assert "FlatMapGroupsInArrow" in plan(got)
+    got = sorted((r.g, int(r.a), int(r.b), r.shared, r.jaccard) for r in got.collect())
+    assert got == plain_pairs(data, 0.8) and len(got) > 100
+    whole = df.groupBy("g", "e").agg(F.collect_set("x").alias("items"))
+    small = M._jaccard_tiles(whole, "e", 0.8, ["g"], 1, None, tile=9)
+    assert sorted((r.g, int(r.a), int(r.b), r.shared, r.jaccard) for r in small.collect()) == got
+
+
+def test_overlaps_by_rows_and_items():
+    rng = random.Random(2)
+    left, right = ([rng.sample(range(60), rng.randrange(0, 20)) for _ in range(n)] for n in (23, 31))
+    want = [[len(set(x) & set(y)) for y in right] for x in left]
+    for rows, step in ((5, 7), (100, 4096)):
+        got = np.concatenate([m for _, m in M.overlaps(pa.array(left), pa.array(right), rows, step)])
+        assert got.tolist() == want
