@@ -59,6 +59,19 @@ def test_jaccard_of_frequent_items_forms_no_join_of_pairs(spark, kind):
     assert sorted((r.g, int(r.a), int(r.b), r.shared, r.jaccard) for r in small.collect()) == got
 
 
+@pytest.mark.parametrize("k", [2, 20])
+def test_best_partners_without_all_pairs(spark, k):
+    data = dense_sets()
+    df = spark.createDataFrame(data, "e long, x int, g int")
+    pairs = spark.createDataFrame(plain_pairs(data, 0.7), "g int, a long, b long, shared int, jaccard double")
+    want = M.top_neighbours(pairs, k, group=["g"]).select("g", "a", "b", "shared", "jaccard").collect()
+    got = M.jaccard_best(df, "e", "x", 0.7, k, ["g"])
+    assert "FlatMapGroupsInArrow" in plan(got)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    sparse = spark.createDataFrame([(e, 100 * e + i, 0) for e in range(30) for i in range(5)] + [(40, i, 0) for i in range(5)], "e long, x int, g int")
+    assert [tuple(r) for r in M.jaccard_best(sparse, "e", "x", 0.7, k, ["g"]).collect()] == [(0, 0, 40, 5, 1.0)]
+
+
 def test_overlaps_by_rows_and_items():
     rng = random.Random(2)
     left, right = ([rng.sample(range(60), rng.randrange(0, 20)) for _ in range(n)] for n in (23, 31))
