@@ -98,3 +98,22 @@ def test_bridges_shuffle_no_pairs(spark):
                 want.add((c, a, b, gap))
     got = [tuple(r) for r in got.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_lin_of_frequent_terms_by_tiles(spark):
+    rng = random.Random(7)
+    data = [(e, t) for e in range(60) for t in rng.sample(range(12), rng.randrange(1, 8))] + [(60, 11), (61, 12)]
+    df = spark.createDataFrame(data, "e long, t string")
+    ic = spark.createDataFrame([(str(t), (t % 5) / 4) for t in range(13)], "t string, ic double")
+    got = M.lin_similarity(df, "e", "t", ic)
+    assert "FlatMapGroupsInArrow" in plan(got)
+    sets, want = {}, []
+    for e, t in data:
+        sets.setdefault(e, {})[t] = (t % 5) / 4
+    for (a, x), (b, y) in combinations(sorted(sets.items()), 2):
+        if x.keys() & y.keys():
+            total = max(x.values()) + max(y.values())
+            want.append((a, b, 2 * max(x[t] for t in x.keys() & y.keys()) / total if total > 0 else 0.0))
+    assert sorted(map(tuple, got.collect())) == want
+    told = df.join(ic, "t")
+    assert sorted(map(tuple, M._lin_tiles(told, "e", "t", tile=7).collect())) == want
