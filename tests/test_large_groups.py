@@ -117,3 +117,26 @@ def test_lin_of_frequent_terms_by_tiles(spark):
     assert sorted(map(tuple, got.collect())) == want
     told = df.join(ic, "t")
     assert sorted(map(tuple, M._lin_tiles(told, "e", "t", tile=7).collect())) == want
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_search_carries_sources_as_bits(spark, directed, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(330)) for _ in range(700)]
+    near = {}
+    for a, b in edges:
+        for x, y in ((a, b),) if directed else ((a, b), (b, a)):
+            near.setdefault(x, set()).add(y)
+    want = set()
+    for s in list(range(320)) + [1000]:
+        at, front = {s: 0}, [s]
+        for hop in range(1, 5):
+            front = [y for y in {y for x in front for y in near.get(x, ())} if y not in at]
+            at.update(dict.fromkeys(front, hop))
+        want |= {(s, y, d) for y, d in at.items()}
+    wide, whole = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name: wide.append(whole(df, name)) or wide[-1])
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = [tuple(r) for r in G.bfs(df, spark.createDataFrame([(i,) for i in [*range(320), 1000, 5]], "source long"), 4, directed).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert max(w.count() for w in wide) < len(want) / 8
