@@ -231,15 +231,50 @@ def c_index(df: DataFrame, time: str, event: str, hazard: str, buckets: int = 64
     return total.withColumn("c_index", F.when(F.col("comparable") > 0, (F.col("concordant") + F.col("tied") / 2) / F.col("comparable")))
 
 
+def _prefix_less(values: np.ndarray, length: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """How many of the first ``length`` values (not negative) lie below ``bound``, for each query: a wavelet matrix, one pass a bit."""
+    low, high, out = np.zeros(len(length), np.int64), length.astype(np.int64), np.zeros(len(length), np.int64)
+    for k in range(int(max(values.max(initial=0), bound.max(initial=0))).bit_length() - 1, -1, -1):
+        one = (values >> k & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        low0, high0, up = zeros[low], zeros[high], (bound >> k & 1).astype(bool)
+        out += np.where(up, high0 - low0, 0)
+        low, high = np.where(up, zeros[-1] + low - low0, low0), np.where(up, zeros[-1] + high - high0, high0)
+        values = np.concatenate([values[~one], values[one]])
+    return out
+
+
 def concordance_by_entity(df: DataFrame, entity: str, stratum: str, time: str, event: str, hazard: str) -> DataFrame:
     """Each entity's comparable pairs within its stratum and the share that is concordant (ties half).
 
-    Pairs come from an equi-join on the stratum; use strata of limited size.
+    No pairs are formed: a stratum's rows are counted in n log n, in one task.
     """
-    side = lambda s: df.select(F.col(stratum), F.col(entity).alias(f"i{s}"), F.col(time).alias(f"t{s}"), F.col(event).cast("int").alias(f"e{s}"), F.col(hazard).alias(f"h{s}"))
-    pairs = side("1").join(side("2"), stratum).where("t1 < t2 AND e1 = 1").withColumn("s", F.when(F.col("h1") > F.col("h2"), 1.0).when(F.col("h1") == F.col("h2"), 0.5).otherwise(0.0))
-    both = pairs.select(stratum, F.col("i1").alias(entity), "s").unionByName(pairs.select(stratum, F.col("i2").alias(entity), "s"))
-    return both.groupBy(stratum, entity).agg(F.count(F.lit(1)).alias("pairs"), F.avg("s").alias("concordance"))
+    kind = {c: df.schema[c].dataType.simpleString() for c in (stratum, entity)}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, h = (np.unique(pdf[c].to_numpy(), return_inverse=True)[1].astype(np.int64) for c in ("__t", "__h"))
+        known, event1 = pdf["__known"].to_numpy(bool), pdf["__e"].to_numpy(bool)
+        pairs, score = np.zeros(len(t), np.int64), np.zeros(len(t))
+
+        def ordered(keep: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.flatnonzero(keep)
+            at = at[np.argsort(key[at], kind="stable")]
+            return key[at], h[at]
+
+        # As the earlier one, with an event: all later rows; as the later one: all earlier events.
+        for key, points, of, higher in ((-t, np.ones(len(t), bool), event1, False), (t, event1, np.ones(len(t), bool), True)):
+            pairs[of] += np.searchsorted(ordered(points, key)[0], key[of])
+            when, values = ordered(points & known, key)
+            at = of & known
+            n = np.searchsorted(when, key[at])
+            below, upto = _prefix_less(values, n, h[at]), _prefix_less(values, n, h[at] + 1)
+            score[at] += (n - upto if higher else below) + (upto - below) / 2
+        return pd.DataFrame({stratum: pdf[stratum], entity: pdf[entity], "__pairs": pairs, "__score": score})
+
+    rows = df.where(F.col(stratum).isNotNull() & F.col(time).isNotNull())
+    rows = rows.select(stratum, entity, F.col(time).alias("__t"), F.coalesce(F.col(event).cast("int") == 1, F.lit(False)).alias("__e"), F.coalesce(F.col(hazard).cast("double"), F.lit(0.0)).alias("__h"), F.col(hazard).isNotNull().alias("__known"))
+    counted = rows.groupBy(stratum).applyInPandas(run, f"`{stratum}` {kind[stratum]}, `{entity}` {kind[entity]}, __pairs long, __score double")
+    return counted.groupBy(stratum, entity).agg(F.sum("__pairs").alias("pairs"), F.sum("__score").alias("__s")).where("pairs > 0").select(stratum, entity, "pairs", (F.col("__s") / F.col("pairs")).alias("concordance"))
 
 
 def cox_loss(df: DataFrame, time: str, event: str, hazard: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ostrakon.operators import graph as G
 from ostrakon.operators import similarity as M
+from ostrakon.operators import survival as V
 from ostrakon.queries import QUERIES
 
 
@@ -140,3 +142,20 @@ def test_search_carries_sources_as_bits(spark, directed, monkeypatch):
     got = [tuple(r) for r in G.bfs(df, spark.createDataFrame([(i,) for i in [*range(320), 1000, 5]], "source long"), 4, directed).collect()]
     assert len(got) == len(want) and set(got) == want
     assert max(w.count() for w in wide) < len(want) / 8
+
+
+def test_concordance_by_entity_counts_without_pairs(spark):
+    rng = random.Random(9)
+    data = [(i, i % 3 if i < 140 else None, rng.randrange(12) if rng.random() < 0.95 else None, rng.choice([0, 1, 1, None]), rng.choice([0.5, 1.5, 2.5, -3.0, None, math.nan])) for i in range(150)]
+    df = spark.createDataFrame(data, "id int, g int, t int, e int, h double")
+    got = V.concordance_by_entity(df, "id", "g", "t", "e", "h")
+    assert "Join" not in plan(got)
+    high = lambda h: (h != h, 0.0 if h != h else h)
+    pairs, score = {}, {}
+    for i, g, t, e, h in data:
+        for j, g2, t2, _, h2 in data:
+            if g is not None and g == g2 and e == 1 and t is not None and t2 is not None and t < t2:
+                s = 0.0 if h is None or h2 is None else 1.0 if high(h) > high(h2) else 0.5 if high(h) == high(h2) else 0.0
+                for k in (i, j):
+                    pairs[g, k], score[g, k] = pairs.get((g, k), 0) + 1, score.get((g, k), 0.0) + s
+    assert sorted(map(tuple, got.collect())) == sorted((*k, n, score[k] / n) for k, n in pairs.items())
