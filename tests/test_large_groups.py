@@ -159,3 +159,13 @@ def test_concordance_by_entity_counts_without_pairs(spark):
                 for k in (i, j):
                     pairs[g, k], score[g, k] = pairs.get((g, k), 0) + 1, score.get((g, k), 0.0) + s
     assert sorted(map(tuple, got.collect())) == sorted((*k, n, score[k] / n) for k, n in pairs.items())
+
+
+def test_communities_of_a_large_group(spark):
+    n = 6000
+    edges = [(5 * c + i, 5 * c + j, 0) for c in range(n // 5) for i in range(5) for j in range(i)]
+    start = time.monotonic()
+    got = G.communities(spark.createDataFrame(edges, "src long, dst long, grp int")).collect()
+    assert time.monotonic() - start < 60 and len(got) == n
+    one = {r.id: r.community for r in got}
+    assert sum(len({one[5 * c + i] for i in range(5)}) == 1 for c in range(n // 5)) == n / 5
