@@ -5,6 +5,7 @@ from collections import deque
 
 import pytest
 
+from ostrakon.operators import compact
 from ostrakon.operators import graph as G
 
 
@@ -30,6 +31,14 @@ def search(near, s, without=None):
     return dist, count
 
 
+def parts(near, without=None):
+    left, k = set(near) - {without}, 0
+    while left:
+        left -= set(search(near, next(iter(left)), without)[0])
+        k += 1
+    return k
+
+
 def graph(seed, kind):
     rng = random.Random(seed)
     rows = [(rng.randrange(8), rng.randrange(90)) for _ in range(150)] + [(100 + i, 101 + i) for i in range(12)] + [(200, 200), (201, 202), (300, 301), (301, 302), (302, 300)]
@@ -48,3 +57,32 @@ def test_all_pairs_are_searched_without_a_shuffle(spark, kind):
         assert sorted(map(tuple, got.collect())) == want
     assert sorted(map(tuple, G.shortest_paths(df, 3, 5).collect())) == sorted(map(tuple, G.shortest_paths(df, 3).collect()))
     assert G.shortest_paths(df.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_topology_beside_plain_searches(spark, kind):
+    data = [(g, a, b) for g in (0, 1, None) for a, b in graph(g or 7, kind)]
+    df = spark.createDataFrame(data, f"grp int, src {kind}, dst {kind}")
+    got = {(r.grp, r.id): r for r in G.topology(df, batch=7).collect()}
+    alone = {(r.grp, r.id): r for r in G.topology(df, most_edges=0).collect()}
+    assert got.keys() == alone.keys()
+    for g in (0, 1, None):
+        near = adjacency([(a, b) for h, a, b in data if h == g])
+        n, whole, told = len(near), parts(near), {s: search(near, s) for s in near}
+        assert {i for h, i in got if h == g} == set(near)
+        for v in near:
+            between = sum(told[s][1][v] * told[v][1][t] / told[s][1][t] for s in near if s != v for t, d in told[s][0].items() if t not in (s, v) and v in told[s][0] and t in told[v][0] and told[s][0][v] + told[v][0][t] == d)
+            total, reach, d = sum(told[v][0].values()), len(told[v][0]) - 1, len(near[v])
+            links = sum(len(near[j] & near[v]) for j in near[v]) / 2
+            extra = parts(near, v) - whole
+            want = (d / (n - 1), between / ((n - 1) * (n - 2)), reach / total * reach / (n - 1) if total else 0, extra > 0, 2 * links / (d * (d - 1)) if d > 1 else 0, total / reach if reach else 0, extra)
+            for r in (got[g, v], alone[g, v]):
+                assert tuple(r)[2:] == pytest.approx(want, abs=1e-12)
+
+
+def test_topology_of_a_large_group_takes_seconds(spark):
+    rng = random.Random(3)
+    rows = [(0, rng.randrange(50), rng.randrange(50, 4000)) for _ in range(20_000)]
+    got = G.topology(spark.createDataFrame(rows, "grp int, src long, dst long"))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString() and got.count() > 3900
+    assert compact.MOST_EDGES > 600_000
