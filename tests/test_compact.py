@@ -99,3 +99,26 @@ def test_foundations_search_only_nodes_that_pass_on(spark):
     got = G.shared_foundations(spark.createDataFrame(rows, "src long, dst long"))
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
     assert len(roots) > 256 and {r.foundation: r.n for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_closure_is_searched_without_a_shuffle(spark, kind):
+    rows = graph(5, kind) + graph(6, kind)[:40] + ([("zz", "zz")] if kind == "string" else [(999, 999)])
+    out = {}
+    for a, b in rows:
+        out.setdefault(a, set()).add(b), out.setdefault(b, set())
+    df = spark.createDataFrame(rows, f"src {kind}, dst {kind}")
+    for depth in (1, 4, 30):
+        got = G.closure(df, depth)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted((a, b, d) for a in out for b, d in search(out, a)[0].items() if 0 < d <= depth)
+    assert sorted(map(tuple, G.closure(df, 2, 5).collect())) == sorted(map(tuple, G.closure(df, 2).collect()))
+    assert G.closure(df.limit(0), 3).count() == 0
+
+
+def test_edges_come_in_ranges(spark):
+    rows = sorted({(a, b) for a, b in graph(7, "long") if a != b})
+    df = spark.createDataFrame(rows, "src long, dst long")
+    for both in (False, True):
+        whole, parts = compact.gathered(df, both), compact.gathered(df, both, 7)
+        assert all((x == y).all() for x, y in zip(whole, parts))
