@@ -122,3 +122,23 @@ def test_edges_come_in_ranges(spark):
     for both in (False, True):
         whole, parts = compact.gathered(df, both), compact.gathered(df, both, 7)
         assert all((x == y).all() for x, y in zip(whole, parts))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_common_neighbours_are_counted_without_a_join(spark, kind):
+    rows = graph(8, kind)
+    near = adjacency(rows)
+    rng = random.Random(9)
+    names = sorted(near) + [("zz" if kind == "string" else 999), None]
+    pairs = sorted({(rng.choice(names[:8] + names[-2:]), rng.choice(names)) for _ in range(300)}, key=str)
+    held, absent = pairs[::3], [p for k, p in enumerate(pairs) if k % 3]
+    score = lambda p: len(near.get(p[0], set()) & near.get(p[1], set()))
+    edges, *sides = (spark.createDataFrame(x, f"src {kind}, dst {kind}") for x in (rows, held, absent))
+    told = compact.common_neighbours(G.cut(edges.where("src < dst").union(edges.where("src > dst").select("dst", "src")).distinct()), sides[0])
+    assert sorted(((r[0], r[1], r[2]) for r in told.collect()), key=str) == sorted(((*p, float(score(p))) for p in held), key=str)
+    want = sum((score(x) > score(y)) + (score(x) == score(y)) / 2 for x in held for y in absent) / len(held) / len(absent)
+    for most in (10**6, 5):
+        got = G.link_prediction(edges, *sides, most)
+        assert ("Join" in got._jdf.queryExecution().executedPlan().toString()) == (most == 5)
+        assert got.collect() == [(len(held), len(absent), pytest.approx(want))]
+    assert G.link_prediction(edges.limit(0), *sides).collect() == [(len(held), len(absent), 0.5)]
