@@ -142,3 +142,36 @@ def test_common_neighbours_are_counted_without_a_join(spark, kind):
         assert ("Join" in got._jdf.queryExecution().executedPlan().toString()) == (most == 5)
         assert got.collect() == [(len(held), len(absent), pytest.approx(want))]
     assert G.link_prediction(edges.limit(0), *sides).collect() == [(len(held), len(absent), 0.5)]
+
+
+def test_low_end_of_a_spectrum_with_hubs_is_quick():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    n, k = 60_000, 300
+    src, dst = rng.integers(0, k, 8 * n), rng.integers(k, n, 8 * n)
+    src, dst = np.append(src, np.arange(n - 1)), np.append(dst, np.arange(1, n))
+    start = time.monotonic()
+    low, high = G._ends_of_laplacian(n, src, dst, most_bytes=1)
+    assert time.monotonic() - start < 20 and 0 < low < high
+    # Paths have known ends, and so does a graph in two parts.
+    path = G._ends_of_laplacian(50, np.arange(49), np.arange(1, 50))
+    assert path == pytest.approx((2 - 2 * np.cos(np.pi / 50), 2 + 2 * np.cos(np.pi / 50)), abs=1e-7)
+    assert G._ends_of_laplacian(5, np.array([0, 2, 3]), np.array([1, 3, 4])) == pytest.approx((0, 3), abs=1e-7)
+
+
+def test_groups_are_taken_from_sorted_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = sorted(((g, a, b) for g in range(4) for a, b in graph(g, "long")[: 50 + g]), key=lambda r: r[0])
+    rows = [(None, 5, 6)] + rows
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 37])], names=["grp", "src", "dst"]) for i in range(0, len(rows), 37)]
+    for block in (1, 1000):
+        got = [(k, sorted(zip(n[a].tolist(), n[b].tolist()))) for k, n, a, b in compact.grouped(iter(batches), block)]
+        assert got == [(g, sorted(r[1:] for r in rows if r[0] == g)) for g in (None, 0, 1, 2, 3)]
+    starts, near = compact.neighbours(4, np.array([0, 1, 2, 1], np.int32), np.array([1, 0, 2, 3], np.int32))
+    assert starts.tolist() == [0, 1, 3, 3, 4] and near.tolist() == [1, 0, 3, 1]
+    assert [x.tolist() for x in compact.neighbours(0, *(np.zeros(0, np.int32),) * 2)] == [[0], []]
