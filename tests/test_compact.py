@@ -175,3 +175,20 @@ def test_groups_are_taken_from_sorted_batches():
     starts, near = compact.neighbours(4, np.array([0, 1, 2, 1], np.int32), np.array([1, 0, 2, 3], np.int32))
     assert starts.tolist() == [0, 1, 3, 3, 4] and near.tolist() == [1, 0, 3, 1]
     assert [x.tolist() for x in compact.neighbours(0, *(np.zeros(0, np.int32),) * 2)] == [[0], []]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_lin_of_few_terms_shuffles_no_pair(spark, kind):
+    from ostrakon.operators import similarity as M
+
+    rng = random.Random(15)
+    rows = sorted({(f"{rng.randrange(60):02}" if kind == "string" else rng.randrange(60), rng.randrange(12)) for _ in range(500)})
+    ic = {t: (12 - t) % 5 / 2 for t in range(12)}
+    has = {}
+    for e, t in rows:
+        has.setdefault(e, set()).add(t)
+    most = {e: max(ic[t] for t in ts) for e, ts in has.items()}
+    want = {(a, b): 2 * max(ic[t] for t in has[a] & has[b]) / (most[a] + most[b]) if most[a] + most[b] > 0 else 0.0 for a in has for b in has if a < b and has[a] & has[b]}
+    got = M.lin_similarity(spark.createDataFrame(rows, f"entity {kind}, item long"), "entity", "item", spark.createDataFrame(list(ic.items()), "item long, ic double"), tile=20)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b): pytest.approx(r.lin) for r in got.collect()} == want and got.count() == len(want)
